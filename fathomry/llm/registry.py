@@ -1,8 +1,12 @@
 """Names, callables and SQL oracles of the corpus operators' queries."""
 
-from . import op2_histogram_sort
+from . import op1_entropy_mix, op2_histogram_sort, op8_blob_ledger
 
 QUERIES = {
+    "op1_entropy_mix": op1_entropy_mix.query,
     "op2_histogram_sort": op2_histogram_sort.query,
+    "op8_blob_ledger": op8_blob_ledger.query,
+}
+ORACLE_SQL = {
+    "op8_blob_ledger": op8_blob_ledger.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
