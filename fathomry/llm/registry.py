@@ -1,6 +1,6 @@
 """Names, callables and SQL oracles of the corpus operators' queries."""
 
-from . import op1_entropy_mix, op2_histogram_sort, op3_tree_scoring, op4_threshold_topk, op6_tar_media, op8_blob_ledger
+from . import op1_entropy_mix, op2_histogram_sort, op3_tree_scoring, op4_threshold_topk, op6_tar_media, op7_anchor_simhash, op8_blob_ledger
 
 QUERIES = {
     "op1_entropy_mix": op1_entropy_mix.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_tree_scoring": op3_tree_scoring.query,
     "op4_threshold_topk": op4_threshold_topk.query,
     "op6_tar_media": op6_tar_media.query,
+    "op7_anchor_simhash": op7_anchor_simhash.query,
     "op8_blob_ledger": op8_blob_ledger.query,
 }
 ORACLE_SQL = {
