@@ -79,19 +79,20 @@ def update_ledger(docs: DataFrame, text: str, path: str, rules: tuple[Rule, ...]
     spark = docs.sparkSession
     known = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     raw = F.coalesce(F.col(text), F.lit(""))
-    blobs = docs.select(raw.alias("__t")).withColumns({"blob": F.unhex(F.sha2("__t", 256)), "__row": F.monotonically_increasing_id()})
+    row = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
+    blobs = docs.select(raw.alias("__t"), row.alias("__row")).withColumns({"blob": F.unhex(F.sha2("__t", 256))})
     seen = open_ledger(spark, path).select("blob", "rule", "version")
     unseen = blobs.groupBy("blob").agg(F.min("__row").alias("__row"))
     unseen = unseen.select("*", F.inline(known)).join(seen, ["blob", "rule", "version"], "left_anti")
     unseen = unseen.groupBy("blob", "__row").agg(F.collect_set("rule").alias("todo"))
-    # one row of each unseen blob; the row number in the key deals a hot blob's other rows evenly
+    # one row of each unseen blob (several only if equal in all columns); the row's hash in the key deals a hot blob's other rows evenly
     todo = blobs.join(unseen.hint("shuffle_hash"), ["blob", "__row"])
     none = F.array().cast("array<struct<gap:int,len:int,ok:boolean>>")
     found = [
         F.when(F.array_contains("todo", r.kind), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.when(r.may_match(F.col("__t")), _pieces(F.col("__t"), r)).otherwise(none).alias("pieces")))
         for r in rules
     ]
-    scanned = todo.select("blob", F.inline(F.array_compact(F.array(*found))))
+    scanned = todo.select("blob", F.inline(F.array_compact(F.array(*found)))).dropDuplicates(["blob", "rule", "version"])
     pieces = scanned.select("blob", "rule", "version", F.posexplode_outer("pieces").alias("i", "p"))
     before = Window.partitionBy("blob", "rule", "version").orderBy("i")
     pieces = pieces.withColumn("end", F.sum(F.col("p.gap") + F.col("p.len")).over(before).cast("int"))
