@@ -1,6 +1,6 @@
 """Names, callables and SQL oracles of the corpus operators' queries."""
 
-from . import op1_entropy_mix, op10_piece_codec, op2_histogram_sort, op3_tree_scoring, op4_threshold_topk, op6_tar_media, op7_anchor_simhash, op8_blob_ledger
+from . import op1_entropy_mix, op10_piece_codec, op2_histogram_sort, op3_tree_scoring, op4_threshold_topk, op6_tar_media, op7_anchor_simhash, op8_blob_ledger, op9_weak_toxicity
 
 QUERIES = {
     "op1_entropy_mix": op1_entropy_mix.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_tar_media": op6_tar_media.query,
     "op7_anchor_simhash": op7_anchor_simhash.query,
     "op8_blob_ledger": op8_blob_ledger.query,
+    "op9_weak_toxicity": op9_weak_toxicity.query,
     "op10_piece_codec": op10_piece_codec.query,
 }
 ORACLE_SQL = {
