@@ -1,12 +1,13 @@
 """Names, callables and SQL oracles of the corpus operators' queries."""
 
-from . import op1_entropy_mix, op10_piece_codec, op2_histogram_sort, op3_tree_scoring, op4_threshold_topk, op6_tar_media, op7_anchor_simhash, op8_blob_ledger, op9_weak_toxicity
+from . import op1_entropy_mix, op10_piece_codec, op2_histogram_sort, op3_tree_scoring, op4_threshold_topk, op5_phrase_automata, op6_tar_media, op7_anchor_simhash, op8_blob_ledger, op9_weak_toxicity
 
 QUERIES = {
     "op1_entropy_mix": op1_entropy_mix.query,
     "op2_histogram_sort": op2_histogram_sort.query,
     "op3_tree_scoring": op3_tree_scoring.query,
     "op4_threshold_topk": op4_threshold_topk.query,
+    "op5_phrase_automata": op5_phrase_automata.query,
     "op6_tar_media": op6_tar_media.query,
     "op7_anchor_simhash": op7_anchor_simhash.query,
     "op8_blob_ledger": op8_blob_ledger.query,
