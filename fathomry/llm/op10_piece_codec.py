@@ -29,6 +29,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -41,7 +42,9 @@ SHORT = 40
 NEVER = float("inf")
 #: Texts that are cut into segments at a time.
 TEXTS = 64
-OUTPUTS = {"ids": "array<int>", "n_tokens": "long", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
+#: Rows that are returned at a time.
+ROWS = 1024
+OUTPUTS = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded": T.StringType(), "decoded_sha256": T.StringType()}
 TYPES = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded": pa.string(), "decoded_sha256": pa.string()}
 
 
@@ -213,7 +216,7 @@ def transcode(docs: DataFrame, text: str = "text", outputs: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path(model))
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, max(1, whole.num_rows), ROWS)):
             made: dict[str, list] = {o: [] for o in outputs}
             for ids, shown in own.encode_batch([t or "" for t in batch.column("__text").to_pylist()]):
                 if "ids" in made:

@@ -189,13 +189,27 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows without the text, with ``fp`` and ``component_id``: the smallest id among all rows reachable by links."""
+    """The rows without the text, with ``fp``, ``component`` (a number of the group) and ``component_id``: the smallest id among all rows reachable by links."""
     prints = common.cut(fingerprints(docs, text))
     each = prints.groupBy("fp").agg(F.min(key).alias("__first"))
     roots = components(links(each.select("fp")))
     grouped = each.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("__first").alias("component_id"))
-    return prints.drop("component_id").join(grouped.join(least, "root").select("fp", "component_id"), "fp")
+    named = grouped.join(least, "root").select("fp", F.col("root").alias("component"), "component_id")
+    return prints.drop("component", "component_id").join(named, "fp")
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents, one of each group of near duplicates: the one with the smallest id, null ids last, then the smallest hash of the text."""
+    hashed = docs.withColumn("__th", F.xxhash64(text))
+    groups = common.cut(near_duplicates(hashed.select(key, "__th", text), text, key).select("component", key, "__th"))
+    first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__th").alias("t"))).alias("f")
+    kept = groups.groupBy("component").agg(first).select(F.col("f.k").alias("__k"), F.col("f.t").alias("__t"))
+    out = hashed.join(kept, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__t")), "left_semi")
+    # rows that agree in id and text are one document
+    if not groups.groupBy(key, "__th").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        out = out.dropDuplicates([key, "__th"])
+    return out.drop("__th")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
