@@ -92,7 +92,7 @@ def by_content(text: Column, top: int = 3) -> Column:
     """The likeliest languages as an array of (language, confidence): the mean over a language's hints of up to ten matches, in tenths."""
     scored = []
     for name, hints in CONTENT_HINTS.items():
-        found = [F.least(F.regexp_count(text, F.lit("(?m)" + h)) / F.lit(10.0), F.lit(1.0)) for h in hints]
+        found = [F.least(F.regexp_count(F.coalesce(text, F.lit("")), F.lit("(?m)" + h)) / F.lit(10.0), F.lit(1.0)) for h in hints]
         scored.append(F.struct((-sum(found[1:], found[0]) / len(hints)).alias("minus"), F.lit(name).alias("language")))
     best = F.filter(F.array_sort(F.array(*scored)), lambda s: s["minus"] < 0)
     return F.transform(F.slice(best, 1, top), lambda s: F.struct(s["language"].alias("language"), (-s["minus"]).alias("confidence")))

@@ -24,8 +24,7 @@ def raw_tokens(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(raw_tokens(text), lambda t: ~F.array_contains(stop, t))
+    return F.filter(raw_tokens(text), lambda t: ~t.isin(*STOPWORDS))
 
 
 def query_tokens(text: str) -> list[str]:

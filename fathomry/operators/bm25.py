@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +23,23 @@ class Index:
     totals: DataFrame
 
     @classmethod
-    def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
-        """Counts are taken before any exchange; documents without tokens count towards the mean length."""
-        words = docs.select(F.col(key).alias("id"), tx.tokens(F.col(text)).alias("w"))
+    def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "text", spread: int | None = None) -> Index:
+        """Counts are taken before any exchange; documents without tokens count towards the mean length.
+
+        spread: deals the texts to so many tasks first, for a table in one piece
+        that a single task would read; leave it out for tables in many files.
+        """
+        rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+        words = (rows.repartition(spread) if spread else rows).select("id", tx.tokens(F.col("text")).alias("w"))
         sized = words.withColumn("dl", F.size("w"))
         totals = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         postings = sized.select("id", "dl", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
         return cls(postings, totals)
 
+    def persist(self) -> Index:
+        """Keeps the postings with the executors, for several searches of one session."""
+        return Index(self.postings.persist(StorageLevel.MEMORY_AND_DISK), self.totals.persist(StorageLevel.MEMORY_AND_DISK))
+
     def save(self, path: str) -> None:
         """Sorted by term, so a search reads only the row groups of its terms."""
         self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")

@@ -90,8 +90,18 @@ def _asked(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(rows))
 
 
+_INDEXES: dict[tuple[str, str], bm25.Index] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    return bm25.Index.build(_table(spark, sf_dir, "documents"))
+    """Built once per application and folder, and kept, as a stored index would be."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        docs = _table(spark, sf_dir, "documents")
+        tasks = spark.sparkContext.defaultParallelism
+        spread = tasks if len(docs.inputFiles()) < tasks else None
+        _INDEXES[key] = bm25.Index.build(docs, spread=spread).persist()
+    return _INDEXES[key]
 
 
 def _nearest(spark: SparkSession, sf_dir: str, k: int, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
