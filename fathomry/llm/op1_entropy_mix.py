@@ -68,9 +68,9 @@ def _newton(hist: DataFrame) -> DataFrame:
     x = F.col("__size") / F.pow(F.lit(2.0), F.col("__band"))
     mass = F.col("__n") * F.col("__size")
     total = F.sum(mass).over(band)
-    share = F.col("__want") / F.col("__all")
-    logit = F.log(share / (F.lit(float(CAP)) - share))
-    hist = hist.withColumns({"__x": x, "__all": total.cast("double")}).withColumn("__free", (share > 0) & (share < CAP * (1 - 1e-12)))
+    share = F.try_divide("__want", "__all")
+    logit = F.log(F.try_divide(share, F.lit(float(CAP)) - share))
+    hist = hist.withColumns({"__x": x, "__all": total.cast("double")}).withColumn("__free", F.coalesce((share > 0) & (share < CAP * (1 - 1e-12)), F.lit(False)))
     # x lies in [1, 2), so the dual lies between half the logit of the band's share and all of it
     hist = hist.withColumns({"__lo": F.when(F.col("__free"), F.least(logit, logit / 2)), "__hi": F.when(F.col("__free"), F.greatest(logit, logit / 2))})
     hist = common.cut(hist.withColumn("__dual", (F.col("__lo") + F.col("__hi")) / 2))
