@@ -207,11 +207,12 @@ def hybrid_alpha_sweep(spark, sf_dir):
 
 
 @register(f"""WITH {_BOTH_SQL}, u AS (SELECT *, 'v' AS l FROM a UNION ALL SELECT *, 'b' AS l FROM b),
-g AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, CAST(min(rank) FILTER (l = 'v') AS INTEGER) AS vector_rank, CAST(min(rank) FILTER (l = 'b') AS INTEGER) AS bm25_rank FROM u GROUP BY ALL)
+g AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, CAST(coalesce(min(rank) FILTER (l = 'v'), 0) AS INTEGER) AS vector_rank, CAST(coalesce(min(rank) FILTER (l = 'b'), 0) AS INTEGER) AS bm25_rank FROM u GROUP BY ALL)
 SELECT query_id, id AS doc_id, score, vector_rank, bm25_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM g QUALIFY rank <= 10""")
 def multi_rrf(spark, sf_dir):
     near, words = _both(spark, sf_dir)
-    return fusion.reciprocal_ranks({"vector": near, "bm25": words}, 10).withColumnRenamed("id", "doc_id")
+    # 0 stands for a list without the document
+    return fusion.reciprocal_ranks({"vector": near, "bm25": words}, 10).fillna(0, ["vector_rank", "bm25_rank"]).withColumnRenamed("id", "doc_id")
 
 
 @register(f"""WITH {_BOTH_SQL}, u AS (SELECT query_id, id, 0.7::DOUBLE / (59 + rank) AS p FROM a UNION ALL SELECT query_id, id, 0.3::DOUBLE / (59 + rank) FROM b),
@@ -241,12 +242,12 @@ def fulltext_websearch(spark, sf_dir):
   count(*) OVER (PARTITION BY r.query_id) AS n FROM ranked r JOIN asked USING (query_id) JOIN documents ON doc_id = id),
 g AS (SELECT query_id, id, original_rank, n, CASE WHEN n > 5 THEN round(CAST(s AS DOUBLE), 6) END AS rerank_score FROM c)
 SELECT query_id, id AS doc_id, original_rank, rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, original_rank) AS INTEGER) AS rank,
-  CAST(CASE WHEN n > 5 THEN original_rank - rank END AS INTEGER) AS rerank_movement FROM g QUALIFY rank <= 5""")
+  CAST(CASE WHEN n > 5 THEN original_rank - rank ELSE 0 END AS INTEGER) AS rerank_movement FROM g QUALIFY rank <= 5""")
 def rerank_two_stage(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     first = _index(spark, sf_dir).search(_asked(spark), rerank.first_stage_size(5))
     rows = F.broadcast(first).join(docs, "id").join(F.broadcast(_asked(spark)), "query_id")
-    return rerank.rerank(rows, 5).select("query_id", F.col("id").alias("doc_id"), "original_rank", "rerank_score", "rank", "rerank_movement")
+    return rerank.rerank(rows, 5).select("query_id", F.col("id").alias("doc_id"), "original_rank", "rerank_score", "rank", F.coalesce("rerank_movement", F.lit(0)).alias("rerank_movement"))
 
 
 @register(f"""WITH r AS ({_rsf_sql(0.5, 10)}) SELECT query_id, doc_id, rank, printf('Hybrid match (alpha=0.50): vector %.2f + BM25 %.2f -> fused %.2f', 0.5 * vector_score, 0.5 * bm25_score, score) AS reason FROM r""")
