@@ -544,3 +544,89 @@ def index_status(spark, sf_dir):
     chunks = _table(spark, sf_dir, "documents").select("source", F.col("lang").alias("language"), F.lit("doc").alias("source_type"))
     out = stats.index_status(chunks, _links(spark, sf_dir), jobs.replay(_log(spark, sf_dir)))
     return out.select("total_chunks", "doc_chunks", "total_documents", F.array_join("languages", ",").alias("languages"), "entities", "relationships", "jobs_done")
+
+
+# ---- explanations, contexts and shapes
+
+
+@register(f"""WITH {_bm25_sql(5)}, m AS (SELECT query_id, id AS doc_id, rank, score, list_filter(list_distinct({_tok("query")}), lambda x: true) AS q, query, text FROM ranked JOIN asked USING (query_id) JOIN documents ON doc_id = id),
+t AS (SELECT *, list_filter({_tok("query")}, lambda x: list_contains({_tok("text")}, x)) AS terms FROM m)
+SELECT query_id, doc_id, rank, printf('BM25 keyword match (score %.2f)', score) || CASE WHEN len(terms) > 0 THEN ': ' || array_to_string(terms[1:5], ', ') ELSE '' END AS reason FROM t""")
+def explain_bm25(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = F.broadcast(_index(spark, sf_dir).search(_asked(spark), 5)).join(docs, "id").join(F.broadcast(_asked(spark)), "query_id")
+    found = found.withColumns({"bm25_score": F.col("score"), "matched_terms": bm25.matched_terms(F.col("query"), F.col("text"))})
+    return explain.explained(found, "bm25").select("query_id", F.col("id").alias("doc_id"), "rank", "explanation.reason")
+
+
+@register(f"""WITH {_BOTH_SQL}, u AS (SELECT *, 'v' AS l FROM a UNION ALL SELECT *, 'b' AS l FROM b),
+g AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, min(rank) FILTER (l = 'v') AS v, min(rank) FILTER (l = 'b') AS b FROM u GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM g QUALIFY rank <= 10)
+SELECT query_id, id AS doc_id, 'RRF fusion (' || concat_ws(', ', 'vector #' || v, 'BM25 #' || b) || '); rrf_score=' || printf('%.4f', score) AS reason FROM r""")
+def explain_multi(spark, sf_dir):
+    near, words = _both(spark, sf_dir)
+    found = fusion.reciprocal_ranks({"vector": near, "bm25": words}, 10)
+    return explain.explained(found, "multi").select("query_id", F.col("id").alias("doc_id"), "explanation.reason")
+
+
+@register(f"WITH {_TRIPLES}, f AS (SELECT * FROM t WHERE lower(predicate) = 'references') SELECT count(*) AS n_triples, (SELECT count(DISTINCT e) FROM (SELECT subject AS e FROM f UNION ALL SELECT object FROM f)) AS n_entities, count(DISTINCT subject || ' -> ' || predicate || ' -> ' || object) AS n_paths, 1.0::DOUBLE AS score FROM f")
+def graph_context(spark, sf_dir):
+    out = graph.context(graph.by_type(_links(spark, sf_dir), relationships=["references"]).withColumn("score", F.lit(1.0)))
+    return out.select("n_triples", F.size("entities").cast("long").alias("n_entities"), F.size("paths").cast("long").alias("n_paths"), "score")
+
+
+@register(f"""WITH {_TRIPLES}, {_vector_sql(3)}, own AS (SELECT 'v1' AS query_id, source_chunk_id AS id FROM t WHERE object = '/the')
+SELECT query_id, id, false AS graph_fallback FROM own UNION ALL SELECT query_id, id, true FROM vranked WHERE query_id <> 'v1' OR NOT EXISTS (SELECT 1 FROM own)""")
+def graph_fallback(spark, sf_dir):
+    own = _links(spark, sf_dir).where("object = '/the'").select(F.lit("v1").alias("query_id"), F.col("source_chunk_id").alias("id"))
+    return graph.fallback(own, _nearest(spark, sf_dir, 3).select("query_id", "id"))
+
+
+@register("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE trim(text) <> ''),
+c AS (SELECT doc_id, l, CAST(greatest(0, ceil((len(l) - 40) / 25.0)) AS INTEGER) AS last FROM l), e AS (SELECT doc_id, l, last, CAST(unnest(range(last + 1)) AS INTEGER) AS i FROM c)
+SELECT doc_id, i AS chunk_index, last + 1 AS total_chunks, i * 25 + 1 AS start_line, CAST(least(len(l), i * 25 + 40) AS INTEGER) AS end_line, md5(array_to_string(l[i * 25 + 1:i * 25 + 40], chr(10))) AS text_md5 FROM e""")
+def line_chunks(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), "text", F.col("lang").alias("language"))
+    out = chunking.code_lines(rows)
+    return out.select(F.col("source").cast("long").alias("doc_id"), "chunk_index", "total_chunks", "start_line", "end_line", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@register("""WITH r AS (SELECT page_id, CASE WHEN url LIKE '%example.com%' THEN url END AS source FROM pages)
+SELECT page_id, coalesce(source, 'unknown') AS source, 'doc' AS source_type FROM r""")
+def result_defaults(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.when(F.col("url").like("%example.com%"), F.col("url")).alias("source"), F.lit(None).cast("string").alias("source_type"))
+    return filters.results(rows).select("page_id", "source", "source_type")
+
+
+@register("""SELECT doc_id, lang AS own, 'corpus' AS team, '3' AS level, coalesce(source, '') AS kept FROM documents""")
+def metadata_inject(spark, sf_dir):
+    extra = F.create_map(F.lit("own"), F.col("lang"), F.lit("team"), F.col("source"), F.lit("kept"), F.coalesce("source", F.lit("")))
+    rows = filters.inject(_table(spark, sf_dir, "documents").select("doc_id", extra.alias("extra")), "extra", {"team": "corpus", "level": 3, "tags": ["x"], "source": "no"}, {"source"})
+    return rows.select("doc_id", *[F.try_element_at("extra", F.lit(k)).alias(k) for k in ("own", "team", "level", "kept")])
+
+
+@register("""SELECT 'src/' || source AS folder_path, count(*) AS chunk_count, count(DISTINCT lang) AS file_count FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def folder_registry(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").where("source is not null").select(F.concat(F.lit("src/"), "source", F.lit("/"), "lang").alias("source"))
+    return stats.folders(rows)
+
+
+@register("""SELECT event_type, count(DISTINCT sha256('/data/' || user_id || '|' || CASE WHEN value > 50 THEN 'True' ELSE 'False' END || '|' || event_type || '|*.md,*.py|')) AS keys FROM events GROUP BY event_type""")
+def dedupe_keys(spark, sf_dir):
+    path = F.concat(F.lit("/data/"), F.col("user_id").cast("string"))
+    key = jobs.dedupe_column(path, F.col("value") > 50, F.col("event_type"), F.array(F.lit("*.py"), F.lit("*.md")), F.array().cast("array<string>"))
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.countDistinct(key).alias("keys"))
+
+
+@register("""WITH m AS (SELECT '/c/' || doc_id AS file_path, 'n-' || doc_id AS new_id FROM documents)
+SELECT n.file_path, CASE WHEN o.file_path IS NOT NULL AND (o.mtime = n.mtime OR o.checksum = n.checksum) THEN o.chunk_id ELSE new_id END AS chunk_ids FROM new n LEFT JOIN old o ON o.file_path = n.file_path JOIN m ON m.file_path = n.file_path""".replace("WITH m", f"WITH {_VERSIONS}, m"))
+def next_manifest(spark, sf_dir):
+    old, new = _versions(spark, sf_dir)
+    fresh = _table(spark, sf_dir, "documents").select(F.concat(F.lit("/c/"), F.col("doc_id").cast("string")).alias("source"), F.concat(F.lit("n-"), F.col("doc_id").cast("string")).alias("chunk_id"))
+    return incremental.next_manifest(old, new, fresh).select("file_path", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+@register("""SELECT o_orderkey, 'Ordered by ' || o_custkey AS label FROM orders WHERE o_orderstatus IN ('F', 'O')""")
+def where_builder(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").where(filters.where({"o_orderstatus": ["F", "O"]}))
+    return rows.select("o_orderkey", F.concat(F.lit("Ordered by "), F.col("o_custkey").cast("string")).alias("label"))
