@@ -38,7 +38,7 @@ def process(chunks: DataFrame, function: Callable[[dict], dict], extra: str = "e
     ship(chunks.sparkSession)
     known = set(chunks.columns)
     schema = T.StructType([f for f in chunks.schema.fields if f.name not in (extra, "process_error")])
-    names = schema.names
+    names = list(schema.names)
     schema = schema.add(extra, T.MapType(T.StringType(), T.StringType())).add("process_error", T.StringType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
