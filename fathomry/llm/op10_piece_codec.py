@@ -24,6 +24,8 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
+from operator import add, itemgetter
 
 import pyarrow as pa
 import sentencepiece
@@ -36,7 +38,7 @@ from . import common
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Segments in one of the two generations of a worker's cache.
-CACHE = 400_000
+CACHE = 250_000
 #: Characters up to which the agenda is a list rather than a heap.
 SHORT = 40
 NEVER = float("inf")
@@ -78,9 +80,11 @@ class Codec:
         if any(MARK in p.lstrip(MARK) for p in pieces) or "\n" not in alone:
             raise ValueError("a vocabulary whose pieces hold marks or line feeds inside is not supported")
         sep = re.escape(alone)
-        self.segments = re.compile(f"{MARK}*[^{MARK}{sep}]+|{MARK}+|[{sep}]").findall
-        self.young: dict[str, tuple[list[int], str]] = {}
-        self.old: dict[str, tuple[list[int], str]] = {}
+        # segments have spaces for marks: most are ASCII then, which takes the least memory in the cache
+        self.segments = re.compile(f" *[^ {sep}]+| +|[{sep}]").findall
+        self.decimal = [str(i) for i in range(n)]
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merge(self, text: str) -> list[int]:
         """Ids of one stretch of text by the agenda."""
@@ -112,11 +116,10 @@ class Codec:
         """The same for a few characters: the agenda is the list of the pairs' scores in order of place."""
         rank = self.rank.get
         sym = list(text)
-        agenda = [rank(a + b, NEVER) for a, b in zip(text, text[1:], strict=False)]
+        agenda = list(map(rank, map(add, text, text[1:]), repeat(NEVER)))
         while agenda and (best := min(agenda)) < NEVER:
             i = agenda.index(best)
-            joined = sym[i] + sym[i + 1]
-            sym[i : i + 2] = [joined]
+            joined = sym[i] = sym[i] + sym.pop(i + 1)
             del agenda[i]
             if i < len(agenda):
                 agenda[i] = rank(joined + sym[i + 1], NEVER)
@@ -149,30 +152,30 @@ class Codec:
         """Encode new segments, and check them against the library."""
         if len(self.young) + len(segments) > CACHE:
             self.old, self.young = self.young, {}
-        new = sorted(segments)
-        lead = self.library.encode("\n")
-        theirs = self.library.encode(["\n" + s.replace(MARK, " ") for s in new], num_threads=1)
+        new = list(segments)
+        lead = len(self.library.encode("\n"))
+        theirs = self.library.encode(["\n" + s for s in new], num_threads=1)
         for s, ids in zip(new, theirs, strict=True):
-            own = self.encode_segment(s)
-            if own != ids[len(lead) :]:
-                raise RuntimeError(f"the library encodes {s!r} as {ids[len(lead):]}, not {own}")
-            self.young[s] = (own, ",".join(map(str, own)))
+            own = self.encode_segment(s.replace(" ", MARK))
+            if own != ids[lead:]:
+                raise RuntimeError(f"the library encodes {s!r} as {ids[lead:]}, not {own}")
+            self.young[s] = tuple(own)
 
-    def find(self, segment: str) -> tuple[list[int], str] | None:
+    def find(self, segment: str) -> tuple[int, ...] | None:
         found = self.young.get(segment)
         if found is None and (found := self.old.get(segment)) is not None:
             self.young[segment] = found
         return found
 
     def split(self, text: str) -> list[str]:
-        return self.segments(MARK + text.replace(" ", MARK)) if text else []
+        return self.segments(" " + text.replace(MARK, " ")) if text else []
 
-    def encode_batch(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
-        """Per text its ids, and the ids in decimal, joined by commas."""
+    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
         for i in range(0, len(texts), TEXTS):
             yield from self._encode_some([self.split(t) for t in texts[i : i + TEXTS]])
 
-    def _encode_some(self, cut: list[list[str]]) -> Iterator[tuple[list[int], str]]:
+    def _encode_some(self, cut: list[list[str]]) -> Iterator[list[int]]:
         young, find = self.young, self.find
         missing = {s for segments in cut for s in segments if s not in young and find(s) is None}
         if missing:
@@ -180,19 +183,24 @@ class Codec:
             young = self.young
         for segments in cut:
             ids: list[int] = []
-            shown = []
             for s in segments:
-                found = young.get(s) or find(s)
-                ids += found[0]
-                shown.append(found[1])
-            yield ids, ",".join(shown)
+                ids += young.get(s) or find(s)
+            yield ids
+
+    def shown(self, ids: list[int]) -> str:
+        """Ids in decimal, joined by commas."""
+        return ",".join(itemgetter(*ids)(self.decimal)) if len(ids) > 1 else "".join(map(str, ids))
 
     def decode(self, ids: list[int]) -> str:
-        data = b"".join(map(self.surface.__getitem__, ids))
+        if not ids:
+            return ""
+        data = b"".join(itemgetter(*ids)(self.surface)) if len(ids) > 1 else self.surface[ids[0]]
         if data[:1] == b" " and self.library.id_to_piece(self._first(ids)).startswith(MARK):
             data = data[1:]
-        text = data.decode("utf-8", "surrogateescape")
-        return text if text.isascii() or not any("\udc80" <= c <= "\udcff" for c in text) else re.sub("[\udc80-\udcff]", "�", text)
+        try:
+            return data.decode()
+        except UnicodeDecodeError:  # ids that no text encodes to
+            return re.sub("[\udc80-\udcff]", "\ufffd", data.decode("utf-8", "surrogateescape"))
 
     def _first(self, ids: list[int]) -> int:
         return next((i for i in ids if self.surface[i]), ids[0])
@@ -218,13 +226,13 @@ def transcode(docs: DataFrame, text: str = "text", outputs: tuple[str, ...] = ("
         own = codec(model_path(model))
         for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, max(1, whole.num_rows), ROWS)):
             made: dict[str, list] = {o: [] for o in outputs}
-            for ids, shown in own.encode_batch([t or "" for t in batch.column("__text").to_pylist()]):
+            for ids in own.encode_batch([t or "" for t in batch.column("__text").to_pylist()]):
                 if "ids" in made:
                     made["ids"].append(ids)
                 if "n_tokens" in made:
                     made["n_tokens"].append(len(ids))
                 if "ids_sha256" in made:
-                    made["ids_sha256"].append(hashlib.sha256(shown.encode()).hexdigest())
+                    made["ids_sha256"].append(hashlib.sha256(own.shown(ids).encode()).hexdigest())
                 if "decoded" in made or "decoded_sha256" in made:
                     back = own.decode(ids)
                     if "decoded" in made:
