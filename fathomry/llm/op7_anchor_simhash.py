@@ -22,7 +22,7 @@ other; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -199,10 +199,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     return prints.drop("component", "component_id").join(named, "fp")
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents, one of each group of near duplicates: the one with the smallest id, null ids last, then the smallest hash of the text."""
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """The documents, one of each group of near duplicates: the one with the smallest id, null ids last, then the smallest hash of the text.
+
+    find: what gives the rows their ``component``; called as ``near_duplicates`` is.
+    """
     hashed = docs.withColumn("__th", F.xxhash64(text))
-    groups = common.cut(near_duplicates(hashed.select(key, "__th", text), text, key).select("component", key, "__th"))
+    groups = common.cut(find(hashed.select(key, "__th", text), text, key).select("component", key, "__th"))
     first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__th").alias("t"))).alias("f")
     kept = groups.groupBy("component").agg(first).select(F.col("f.k").alias("__k"), F.col("f.t").alias("__t"))
     out = hashed.join(kept, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__t")), "left_semi")
