@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from fathomry.functions.ship import ship
@@ -20,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; a temporary
-    folder stands in only where that is unset, as in local tests.
+    It is what the cluster names in ``spark.checkpoint.dir``, or the folder given
+    to ``setCheckpointDir``. Only where all tasks run in the driver's own process
+    does a folder of this machine stand in; a cluster without either is refused.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     at = named or sc.getCheckpointDir()
+    if not at and not sc.isLocal:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not at:
         at = f"file://{tempfile.mkdtemp(prefix='shared-')}"
     if not sc.getCheckpointDir():
@@ -44,6 +49,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes and rows of an Arrow batch that are worked on at a time, unless one row has more.
+SLICE_BYTES, SLICE_ROWS = 4 << 20, 1024
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that what a task makes of them in Python stays small."""
+    for batch in batches:
+        step = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` with this package on the executors."""
     ship(df.sparkSession)
