@@ -7,10 +7,10 @@ that are no piece fall back to bytes.
 
 A merge can only join two characters that stand side by side within some piece.
 Texts are cut into segments where that can't be: before a word's space mark and
-around characters that no longer piece holds. Each distinct segment is encoded
-once per worker and kept in a cache of bounded size. All segments that an Arrow
-batch adds to the cache are checked against the sentencepiece library; a
-difference ends the job.
+around characters that no longer piece holds. A task keeps the segments that it
+has encoded in a cache of bounded size, which goes when the task ends. The
+sentencepiece library checks all segments that an Arrow batch adds to the cache,
+all decoded texts, and one whole text of every CHECKED; a difference ends the job.
 
 Defined results: a null text is empty and has no ids; repeated rows each get
 their ids; an empty table gives an empty result; other columns are kept, and
@@ -37,15 +37,17 @@ from . import common
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Segments in one of the two generations of a worker's cache.
-CACHE = 250_000
+#: Bytes, about, of one of the two generations of a task's cache.
+CACHE = 40 << 20
+#: Bytes of a cached segment besides its characters and ids (eight each, about).
+OVERHEAD = 200
+#: Of so many texts one is compared whole with the library's encoding.
+CHECKED = 16
 #: Characters up to which the agenda is a list rather than a heap.
 SHORT = 40
 NEVER = float("inf")
 #: Texts that are cut into segments at a time.
 TEXTS = 64
-#: Rows that are returned at a time.
-ROWS = 1024
 OUTPUTS = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded": T.StringType(), "decoded_sha256": T.StringType()}
 TYPES = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded": pa.string(), "decoded_sha256": pa.string()}
 
@@ -85,6 +87,15 @@ class Codec:
         self.decimal = [str(i) for i in range(n)]
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        """Empties the cache."""
+        self.young, self.old, self.held = {}, {}, 0
+
+    def _keep(self, segment: str, ids: tuple[int, ...]) -> None:
+        self.held += OVERHEAD + len(segment) + 8 * len(ids)
+        self.young[segment] = ids
 
     def merge(self, text: str) -> list[int]:
         """Ids of one stretch of text by the agenda."""
@@ -150,8 +161,8 @@ class Codec:
 
     def learn(self, segments: set[str]) -> None:
         """Encode new segments, and check them against the library."""
-        if len(self.young) + len(segments) > CACHE:
-            self.old, self.young = self.young, {}
+        if self.held > CACHE:
+            self.old, self.young, self.held = self.young, {}, 0
         new = list(segments)
         lead = len(self.library.encode("\n"))
         theirs = self.library.encode(["\n" + s for s in new], num_threads=1)
@@ -159,12 +170,12 @@ class Codec:
             own = self.encode_segment(s.replace(" ", MARK))
             if own != ids[lead:]:
                 raise RuntimeError(f"the library encodes {s!r} as {ids[lead:]}, not {own}")
-            self.young[s] = tuple(own)
+            self._keep(s, tuple(own))
 
     def find(self, segment: str) -> tuple[int, ...] | None:
         found = self.young.get(segment)
         if found is None and (found := self.old.get(segment)) is not None:
-            self.young[segment] = found
+            self._keep(segment, found)
         return found
 
     def split(self, text: str) -> list[str]:
@@ -202,6 +213,20 @@ class Codec:
         except UnicodeDecodeError:  # ids that no text encodes to
             return re.sub("[\udc80-\udcff]", "\ufffd", data.decode("utf-8", "surrogateescape"))
 
+    def decode_batch(self, many: list[list[int]]) -> list[str]:
+        """The text of each list of ids, checked against the library."""
+        out = [self.decode(ids) for ids in many]
+        for ids, own, theirs in zip(many, out, self.library.decode(many, num_threads=1) if many else [], strict=True):
+            if ids and own != theirs:
+                raise RuntimeError(f"the library decodes {ids} to {theirs!r}, not {own!r}")
+        return out
+
+    def check(self, texts: list[str], many: list[list[int]]) -> None:
+        """Compares whole texts' ids with the library's."""
+        for text, own, theirs in zip(texts, many, self.library.encode(texts, num_threads=1) if texts else [], strict=True):
+            if own != theirs:
+                raise RuntimeError(f"the library encodes {text!r} as {theirs}, not {own}")
+
     def _first(self, ids: list[int]) -> int:
         return next((i for i in ids if self.surface[i]), ids[0])
 
@@ -222,24 +247,26 @@ def transcode(docs: DataFrame, text: str = "text", outputs: tuple[str, ...] = ("
     for o in outputs:
         schema = schema.add(o, OUTPUTS[o])
 
+    back = "decoded" in outputs or "decoded_sha256" in outputs
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path(model))
-        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, max(1, whole.num_rows), ROWS)):
-            made: dict[str, list] = {o: [] for o in outputs}
-            for ids in own.encode_batch([t or "" for t in batch.column("__text").to_pylist()]):
-                if "ids" in made:
-                    made["ids"].append(ids)
-                if "n_tokens" in made:
-                    made["n_tokens"].append(len(ids))
-                if "ids_sha256" in made:
-                    made["ids_sha256"].append(hashlib.sha256(own.shown(ids).encode()).hexdigest())
-                if "decoded" in made or "decoded_sha256" in made:
-                    back = own.decode(ids)
-                    if "decoded" in made:
-                        made["decoded"].append(back)
-                    if "decoded_sha256" in made:
-                        made["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(made[o], TYPES[o]) for o in outputs]], names=[*kept, *outputs])
+        try:
+            for batch in common.slices(batches):
+                texts = [t or "" for t in batch.column("__text").to_pylist()]
+                ids = list(own.encode_batch(texts))
+                decoded = own.decode_batch(ids) if back else []
+                own.check(texts[::CHECKED], ids[::CHECKED])
+                made = {
+                    "ids": lambda: ids,
+                    "n_tokens": lambda: map(len, ids),
+                    "ids_sha256": lambda: (hashlib.sha256(own.shown(i).encode()).hexdigest() for i in ids),
+                    "decoded": lambda: decoded,
+                    "decoded_sha256": lambda: (hashlib.sha256(d.encode()).hexdigest() for d in decoded),
+                }
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(list(made[o]()), TYPES[o]) for o in outputs]], names=[*kept, *outputs])
+        finally:
+            own.forget()
 
     return common.map_batches(docs.select(*kept, F.col(text).alias("__text")), run, schema)
 
