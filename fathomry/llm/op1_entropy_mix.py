@@ -8,33 +8,39 @@ r = CAP / (1 + exp(-dual * size)): an exponential tilt. The dual is solved for
 all bands at once by guarded Newton steps over the (source, size) histogram,
 distributed by source and band, until every constraint holds.
 
-Rates become copies by systematic rounding: within a source, in order of size
-and then of a hash of the row, a document gets as many copies as whole numbers
-lie in its stretch of the running sum of rates. So the copies taken never lag
-behind the rates by one, and a source's tokens miss its target by at most the
-size of one large document. Groups of rows with one source and size are ranked
-in buckets, so a hot group is spread over tasks.
+Rates become copies cell by cell, a cell being all documents of one source and
+size, from a source's largest size to its smallest: a cell gets the whole number
+of copies nearest to its rate, and the tokens that this misses are carried to
+the next cell. So a source's taken tokens miss its target by no more than its
+small documents can't make up for. Within a cell the documents with the smallest
+(bucket, hash) get one copy more than the others; the bucket is a part of the
+hash, always one of BUCKETS, so a hot cell is ranked in many tasks and no choice
+depends on the size of the table. Sums of rates are of decimals, so reruns agree.
 
 Defined results: null texts have size 0 and null sources form one source, last
 in order; documents of size 0 take 0 words; an empty table gives an empty
 result; repeated rows are separate documents; columns named like the outputs
-are replaced.
+are replaced. Sources are ranked in one task, with one row for each.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fathomry.functions.ship import ship
 
 from . import common
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2
-#: Rows that are ranked together, on average.
-BUCKET_ROWS = 100_000
+#: Parts of a cell that are ranked apart.
+BUCKETS = 4096
+EXACT = "decimal(38,12)"
 STEPS, ROUNDS, CLOSE = 4, 12, 1e-9
 
 
@@ -77,21 +83,33 @@ def _newton(hist: DataFrame) -> DataFrame:
     rate = F.lit(float(CAP)) / (1 + F.exp(-F.col("__dual") * F.col("__x")))
     for _ in range(ROUNDS):
         for _ in range(STEPS):
-            gap = F.sum(mass * rate).over(band) - F.col("__want")
-            slope = F.sum(mass * rate * (1 - rate / CAP) * F.col("__x")).over(band)
+            gap = F.sum((mass * rate).cast(EXACT)).over(band).cast("double") - F.col("__want")
+            slope = F.sum((mass * rate * (1 - rate / CAP) * F.col("__x")).cast(EXACT)).over(band).cast("double")
             hist = hist.withColumns({"__gap": gap, "__slope": slope})
             hist = hist.withColumns({"__lo": F.when(F.col("__gap") > 0, F.col("__lo")).otherwise(F.col("__dual")), "__hi": F.when(F.col("__gap") > 0, F.col("__dual")).otherwise(F.col("__hi"))})
             step = F.col("__dual") - F.try_divide(F.col("__gap"), F.col("__slope"))
             inside = (step >= F.col("__lo")) & (step <= F.col("__hi"))
             hist = hist.withColumn("__dual", F.when(F.col("__free"), F.when(inside, step).otherwise((F.col("__lo") + F.col("__hi")) / 2)))
         hist = common.cut(hist)
-        off = hist.where("__free").select((F.abs(F.sum(mass * rate).over(band) - F.col("__want")) / F.col("__want")).alias("off")).agg(F.max("off"))
+        off = hist.where("__free").select((F.abs(F.sum((mass * rate).cast(EXACT)).over(band).cast("double") - F.col("__want")) / F.col("__want")).alias("off")).agg(F.max("off"))
         if (off.first()[0] or 0.0) <= CLOSE:
             break
     settled = F.when(F.col("__all") == 0, F.lit(1.0)).when(F.col("__want") <= 0, F.lit(0.0)).otherwise(F.lit(float(CAP)))
     return hist.withColumn("__rate", F.when(F.col("__free"), rate).otherwise(settled))
 
 
+def _whole_copies(cells: pd.DataFrame) -> pd.DataFrame:
+    """Adds the copies of each cell of one source."""
+    cells = cells.sort_values("size", ascending=False, ignore_index=True)
+    out = np.zeros(len(cells), np.int64)
+    carried = 0.0
+    for i, (size, n, rate) in enumerate(zip(cells["size"].tolist(), cells["__n"].tolist(), cells["rate"].tolist(), strict=True)):
+        wanted = n * rate + (carried / size if size else 0.0)
+        out[i] = min(CAP * n, max(0, int(wanted + 0.5)))
+        carried += size * (n * rate - int(out[i]))
+    return cells.assign(__copies=out)
+
+
 def mix(docs: DataFrame, size: Column, source: str = "source", order_by: tuple[str, ...] = ("doc_id", "text"), weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET) -> DataFrame:
     """Adds size, source_size, target, rate, copies and taken to every document.
 
@@ -107,24 +125,20 @@ def mix(docs: DataFrame, size: Column, source: str = "source", order_by: tuple[s
     hist = hist.withColumn("__band", F.col("__band") - (F.pow(F.lit(2.0), F.col("__band")) > F.col("__size")).cast("int") * (F.col("__size") > 0).cast("int"))
     part = F.sum(F.col("__size") * F.col("__n")).over(Window.partitionBy("__key", "__band"))
     hist = _newton(hist.withColumn("__want", F.coalesce(F.try_divide(F.col("target") * part, F.col("source_size")), F.lit(0.0))))
-    ahead = Window.partitionBy("__key").orderBy("__size").rowsBetween(Window.unboundedPreceding, -1)
-    cells = hist.withColumn("__ahead", F.coalesce(F.sum(F.col("__n") * F.col("__rate")).over(ahead), F.lit(0.0)))
-    cells = common.cut(cells.select("__key", F.col("__size").alias("size"), "source_size", "target", F.col("__rate").alias("rate"), "__ahead", "__n"))
-    buckets = math.ceil((cells.agg(F.max("__n")).first()[0] or 1) / BUCKET_ROWS)
-    base = base.withColumn("__bucket", F.pmod("__h", F.lit(buckets)).cast("int"))
-    if buckets > 1:
-        in_cell = Window.partitionBy("__key", "size").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-        dealt = base.groupBy("__key", "size", "__bucket").agg(F.count("*").alias("__m"))
-        dealt = dealt.select("__key", "size", "__bucket", F.coalesce(F.sum("__m").over(in_cell), F.lit(0)).alias("__skip"))
-        cells = cells.join(dealt, ["__key", "size"])
-    else:
-        cells = cells.withColumns({"__bucket": F.lit(0), "__skip": F.lit(0)})
+    cells = hist.select("__key", F.col("__size").alias("size"), "source_size", "target", F.col("__rate").alias("rate"), "__n")
+    # a group holds one row for each size of a source
+    ship(docs.sparkSession)
+    cells = cells.groupBy("__key").applyInPandas(_whole_copies, T.StructType([*cells.schema.fields, T.StructField("__copies", T.LongType())]))
+    base = base.withColumn("__bucket", F.pmod("__h", F.lit(BUCKETS)).cast("int"))
+    in_cell = Window.partitionBy("__key", "size").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = base.groupBy("__key", "size", "__bucket").agg(F.count("*").alias("__m"))
+    dealt = dealt.select("__key", "size", "__bucket", F.coalesce(F.sum("__m").over(in_cell), F.lit(0)).alias("__skip"))
+    cells = dealt.join(cells, ["__key", "size"])
     ranked = base.withColumn("__rank", F.row_number().over(Window.partitionBy("__key", "size", "__bucket").orderBy("__h", *order_by)))
-    out = ranked.join(cells.drop("__n"), ["__key", "size", "__bucket"])
-    upto = lambda j: F.floor(F.col("__ahead") + (F.col("__skip") + F.col("__rank") - 1 + j) * F.col("rate") + 0.5)
-    copies = F.when(F.col("rate") >= CAP, CAP).otherwise(F.greatest(F.lit(0), F.least(F.lit(CAP), upto(1) - upto(0))))
-    out = out.withColumn("copies", copies.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("__key", "__h", "__bucket", "__rank", "__ahead", "__skip")
+    out = ranked.join(cells, ["__key", "size", "__bucket"])
+    more = F.col("__skip") + F.col("__rank") <= F.col("__copies") % F.col("__n")
+    out = out.withColumn("copies", (F.floor(F.col("__copies") / F.col("__n")) + more.cast("int")).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.drop("__key", "__h", "__bucket", "__rank", "__skip", "__copies", "__n")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
