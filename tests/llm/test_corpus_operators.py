@@ -50,7 +50,8 @@ def test_mix_meets_its_targets(spark):
     total = out["size"].sum()
     own = out.assign(source=out["source"].fillna("~")).groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"), most=("size", "max"))
     assert own["target"].sum() == pytest.approx(1.5 * total)
-    assert ((own["taken"] - own["target"]).abs() <= own["most"] + 1).all()
+    # the smallest documents make up for what the large ones miss
+    assert ((own["taken"] - own["target"]).abs() <= 0.01 * own["target"] + 5).all()
     again = op1_entropy_mix.mix(frame.repartition(7), F.col("size"), order_by=("doc_id",)).toPandas()
     assert dict(zip(out["doc_id"], out["copies"])) == dict(zip(again["doc_id"], again["copies"]))
 
@@ -78,8 +79,28 @@ def test_mix_targets_by_resharing(spark):
     assert got == pytest.approx(want)
 
 
-def test_mix_of_buckets_and_awkward_rows(spark, docs, empty, monkeypatch):
-    monkeypatch.setattr(op1_entropy_mix, "BUCKET_ROWS", 10)
+def test_rates_solve_the_dual(spark):
+    sizes = {s: [int(x) for x in rng.pareto(1.1, 60) * 20 + 1] for s in ("a", "b", "c")}
+    rows = [(f"{s}{i}", x, s) for s, xs in sizes.items() for i, x in enumerate(xs)]
+    out = op1_entropy_mix.mix(spark.createDataFrame(rows, "doc_id string, size long, source string"), F.col("size"), order_by=("doc_id",)).toPandas()
+    for s, own in out.groupby("source"):
+        target = own["target"].iloc[0]
+        for _, part in own.groupby(np.floor(np.log2(own["size"]))):
+            x, want = part["size"].to_numpy(float), target * part["size"].sum() / own["size"].sum()
+            if want >= 2 * x.sum() * (1 - 1e-9):
+                assert (part["rate"] == 2).all()
+                continue
+            low, high, dual = -50.0 / x.min(), 50.0 / x.min(), 0.0
+            for _ in range(200):  # plain Newton, halved where it leaves the bracket
+                r = 2 / (1 + np.exp(-dual * x))
+                gap, slope = (x * r).sum() - want, (x * x * r * (1 - r / 2)).sum()
+                low, high = (low, dual) if gap > 0 else (dual, high)
+                dual = dual - gap / slope if low < dual - gap / slope < high else (low + high) / 2
+            assert part["rate"].to_numpy() == pytest.approx(2 / (1 + np.exp(-dual * x)), abs=1e-6)
+        assert abs(own["taken"].sum() - target) <= 0.01 * target + own["size"].min()
+
+
+def test_mix_of_buckets_and_awkward_rows(spark, docs, empty):
     many = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(7).cast("long").alias("size"), F.when(F.col("id") < 150, "a").otherwise("b").alias("source"))
     out = op1_entropy_mix.mix(many, F.col("size"), order_by=("doc_id",)).toPandas()
     gap = (out.groupby("source")["taken"].sum() - out.groupby("source")["target"].first()).abs()
@@ -157,12 +178,12 @@ def brute_topk(rows, k):
     good = {}
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            good.setdefault(i, []).append(tuple(int(np.floor(256 * float(x))) for x in v))
+            good.setdefault(i, []).append(tuple(256 * int(x) if abs(x) > 1e15 else int(np.floor(256 * float(x))) for x in v))
     out = {}
     for q in (i for i in good if i % 50 == 0):
         best = {}
         for c, vs in good.items():
-            scores = [sum(a * b for a, b in zip(x, y)) for x in good[q] for y in vs if len(x) == len(y)]
+            scores = [min(max(sum(a * b for a, b in zip(x, y)), -(1 << 63)), (1 << 63) - 1) for x in good[q] for y in vs if len(x) == len(y)]
             if c != q and scores:
                 best[c] = max(scores)
         out[q] = sorted(((-s, c) for c, s in best.items()))[:k]
@@ -170,12 +191,13 @@ def brute_topk(rows, k):
 
 
 def test_topk_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(op4_threshold_topk, "TILE", 1 << 10)
+    for name, value in (("TILE", 1 << 10), ("BLOCK", 6), ("ROWS", 100)):
+        monkeypatch.setattr(op4_threshold_topk, name, value)
     rows = [(i, rng.normal(size=12).tolist()) for i in range(700)] + [(700 + i, [0.25] * 12) for i in range(80)]
-    rows += [(50, rows[50][1]), (1, None), (2, [1.0, None] + [0.0] * 10), (3, [float("nan")] * 12), (4, [float("inf")] * 12), (None, [0.5] * 12), (900, [1.0, 2.0]), (901, [1.0, 1.0]), (950, [])]
+    rows += [(50, rows[50][1]), (1, None), (2, [1.0, None] + [0.0] * 10), (3, [float("nan")] * 12), (4, [float("inf")] * 12), (None, [0.5] * 12), (900, [1.0, 2.0]), (901, [1.0, 1.0]), (950, []), (1000, [3e7] * 12), (1001, [1e300] + [0.0] * 11), (1002, [2e7, -1.0] + [0.5] * 10)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     got = defaultdict(list)
-    for r in op4_threshold_topk.top_k(frame, F.col("vec_id") % 50 == 0, block=6).orderBy("query_id", "rank").collect():
+    for r in op4_threshold_topk.top_k(frame, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((-r["score"], r["vec_id"]))
     want = {q: v for q, v in brute_topk(rows, 5).items() if v}
     assert dict(got) == want
@@ -211,6 +233,8 @@ def test_dedup_is_exact(spark, docs, empty, monkeypatch):
     rows = [(i, " ".join([prose(int(rng.integers(0, 40))), passages[i % 5] if i % 2 else "", prose(int(rng.integers(0, 30)))])) for i in range(120)]
     rows += [(200, rows[3][1]), (201, rows[3][1]), (5, "other " + passages[2]), (5, rows[5][1]), (300, "x" * 9000 + " " + passages[3])]
     rows += [(d[0], d[1]) for d in DOCS]
+    # one anchor with more regions than an automaton takes, half of them in rows without an id
+    rows += [(None if i % 2 else 400 + i, f"{prose(8)} {' '.join(f'{w}{i % 7}' for w in 'p q r s t u v w'.split())} {passages[0]} {i % 5} {prose(9)}") for i in range(150)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = Counter(tuple(r) for r in op5_phrase_automata.dedup(frame, digest=True).collect())
     assert got == brute_dedup(rows)
