@@ -4,7 +4,10 @@ Every version of a text is a blob, addressed by its SHA-256. The ledger is a
 Parquet table of (blob, rule, version, spans): what each rule version found in
 each blob. A scan reads only blobs with a (rule, version) that the ledger does
 not have, appends their findings, and joins the ledger back to all rows (paths)
-that hold the blob, so copies and old versions are never scanned again.
+that hold the blob, so copies and old versions are never scanned again. Texts
+move only where a bitmap of the chosen rows' hashes (MARKS bits, broadcast) has a
+mark: blobs that the ledger knows, and other copies, stay where they are. The
+join back likewise moves only rows whose blob may have a finding.
 
 Match offsets come from running sums of the lengths of matches and of the gaps
 between them, as ``regexp_extract_all`` and ``split`` find the same leftmost
@@ -53,6 +56,8 @@ RULES = (
     Rule("access", 1, r"(AKIA[A-Z0-9]+)", 1, 18, ("AKIA",)),
     Rule("hex", 1, r"([0-9a-f]{16,})", 1, 16, (), "[0-9a-f]{16}"),
 )
+#: Bits of the bitmaps, as a power of two: at most 2^18 rows of 64 bits are broadcast.
+MARKS = 24
 LEDGER = "blob binary, rule string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -74,6 +79,27 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
+def _slot(*cols: str) -> Column:
+    return F.xxhash64(*cols).bitwiseAND((1 << MARKS) - 1)
+
+
+def _bit(slot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+
+
+def _marks(keys: DataFrame, *cols: str) -> DataFrame:
+    """A bitmap of the hashes of some keys, 64 bits a row."""
+    slot = _slot(*cols)
+    return keys.groupBy(F.shiftright(slot, 6).alias("__at")).agg(F.bit_or(_bit(slot)).alias("__bits"))
+
+
+def _maybe(df: DataFrame, marks: DataFrame, *cols: str) -> DataFrame:
+    """Adds ``__maybe``: false only for rows whose key is not among the marked."""
+    slot = _slot(*cols)
+    out = df.withColumn("__at", F.shiftright(slot, 6)).join(F.broadcast(marks), "__at", "left")
+    return out.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(_bit(slot)) != 0, F.lit(False))).drop("__at", "__bits")
+
+
 def update_ledger(docs: DataFrame, text: str, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what the ledger has not seen yet and append it; returns the ledger of the given rule versions."""
     spark = docs.sparkSession
@@ -84,9 +110,10 @@ def update_ledger(docs: DataFrame, text: str, path: str, rules: tuple[Rule, ...]
     seen = open_ledger(spark, path).select("blob", "rule", "version")
     unseen = blobs.groupBy("blob").agg(F.min("__row").alias("__row"))
     unseen = unseen.select("*", F.inline(known)).join(seen, ["blob", "rule", "version"], "left_anti")
-    unseen = unseen.groupBy("blob", "__row").agg(F.collect_set("rule").alias("todo"))
-    # one row of each unseen blob (several only if equal in all columns); the row's hash in the key deals a hot blob's other rows evenly
-    todo = blobs.join(unseen.hint("shuffle_hash"), ["blob", "__row"])
+    unseen = common.cut(unseen.groupBy("blob", "__row").agg(F.collect_set("rule").alias("todo")))
+    # one row of each unseen blob (several only if equal in all columns); no other text moves
+    moving = _maybe(blobs, _marks(unseen, "blob", "__row"), "blob", "__row").where("__maybe").drop("__maybe")
+    todo = moving.join(unseen.hint("shuffle_hash"), ["blob", "__row"])
     none = F.array().cast("array<struct<gap:int,len:int,ok:boolean>>")
     found = [
         F.when(F.array_contains("todo", r.kind), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.when(r.may_match(F.col("__t")), _pieces(F.col("__t"), r)).otherwise(none).alias("pieces")))
@@ -102,36 +129,47 @@ def update_ledger(docs: DataFrame, text: str, path: str, rules: tuple[Rule, ...]
     return rows.join(F.broadcast(spark.range(1).select(F.inline(known))), ["rule", "version"], "left_semi")
 
 
-def scan(docs: DataFrame, text: str = "text", ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds ``findings``: array of (start, ord, kind, end) of every row's text, by start, then in the order of the rules.
+FINDING = "array<struct<start:int,ord:int,kind:string,end:int>>"
 
-    Offsets are code points, ends exclusive. ledger: path of the ledger to
-    keep between scans; a new one in the shared folder if None.
-    """
+
+def _with_findings(docs: DataFrame, text: str, ledger: str | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """Adds ``findings``, and ``__before``: for each of them where the ones before it end."""
     spark = docs.sparkSession
     current = update_ledger(docs, text, ledger or common.fresh_dir(spark, "blob-ledger"), rules)
     at = {r.kind: i for i, r in enumerate(rules)}
     order = F.create_map(*[F.lit(x) for kv in at.items() for x in kv])
-    spans = current.where(F.size("spans") > 0).select("blob", "rule", F.inline("spans"))
-    per_blob = spans.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", order[F.col("rule")].alias("ord"), F.col("rule").alias("kind"), "end"))).alias("findings"))
+    spans = current.where(F.size("spans") > 0).select("blob", F.col("rule").alias("kind"), order[F.col("rule")].alias("ord"), F.inline("spans"))
+    ahead = Window.partitionBy("blob").orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("before", F.coalesce(F.max("end").over(ahead), F.lit(0)))
+    per_blob = spans.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "kind", "end", "before"))).alias("__all"))
+    per_blob = common.cut(per_blob)
+    bare = F.transform("__all", lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["kind"].alias("kind"), x["end"].alias("end")))
     paths = docs.drop("findings", "blob").withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    empty = F.array().cast("array<struct<start:int,ord:int,kind:string,end:int>>")
-    return paths.join(per_blob, "blob", "left").withColumn("findings", F.coalesce("findings", empty)).drop("blob")
+    paths = _maybe(paths, _marks(per_blob, "blob"), "blob")
+    with_some = paths.where("__maybe").join(per_blob, "blob", "left").drop("blob", "__maybe")
+    with_some = with_some.withColumns({"findings": F.coalesce(bare, F.array().cast(FINDING)), "__before": F.coalesce(F.col("__all.before"), F.array().cast("array<int>"))}).drop("__all")
+    without = paths.where(~F.col("__maybe")).drop("blob", "__maybe").withColumns({"findings": F.array().cast(FINDING), "__before": F.array().cast("array<int>")})
+    return with_some.unionByName(without)
+
+
+def scan(docs: DataFrame, text: str = "text", ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Adds ``findings``: array of (start, ord, kind, end) of every row's text, by start, then in the order of the rules.
+
+    Offsets are code points, ends exclusive. ledger: path of the ledger to
+    keep between scans; a new one in the shared folder if None.
+    """
+    return _with_findings(docs, text, ledger, rules).drop("__before")
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", ledger: str | None = None) -> DataFrame:
     """Replaces every found span (overlapping spans as one) by ``mark``; other text and rows stay as they are."""
-    out = scan(docs, text, ledger)
-    step = F.aggregate(
-        "findings",
-        F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
-        lambda acc, s: F.struct(
-            F.when(s["start"] >= acc["at"], F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["done"]).alias("done"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        ),
-        lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, F.length(text))),
+    out = _with_findings(docs, text, ledger, RULES)
+    kept = F.transform(
+        F.arrays_zip(F.col("findings.start").alias("start"), F.col("__before").alias("before")),
+        lambda s: F.when(s["start"] >= s["before"], F.concat(F.substring(F.col(text), s["before"] + 1, s["start"] - s["before"]), F.lit(mark))).otherwise(F.lit("")),
     )
-    return out.withColumn(text, F.when(F.size("findings") > 0, step).otherwise(F.col(text))).drop("findings")
+    rest = F.substring(F.col(text), F.array_max(F.col("findings.end")) + 1, F.length(text))
+    return out.withColumn(text, F.when(F.size("findings") > 0, F.concat(F.array_join(kept, ""), rest)).otherwise(F.col(text))).drop("findings", "__before")
 
 
 def _listed(findings: Column) -> Column:

@@ -361,6 +361,19 @@ def test_secrets_and_ledger(spark, docs, empty):
     assert op8_blob_ledger.scan(empty).count() == 0
 
 
+def test_known_texts_do_not_move(spark, tmp_path):
+    rows = [(i, f"text {i} " + "x" * 2000) for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    ledger = common.fresh_dir(spark, "ledger")
+    op8_blob_ledger.scan(frame, ledger=ledger).count()
+    # a second scan with one new text: the rows that the bitmap lets through
+    more = frame.unionByName(spark.createDataFrame([(900, "new secret=abcdefghijklmnop")], frame.schema))
+    blobs = more.select(F.unhex(F.sha2("text", 256)).alias("blob"))
+    new = blobs.join(op8_blob_ledger.open_ledger(spark, ledger), "blob", "left_anti")
+    assert op8_blob_ledger._maybe(blobs, op8_blob_ledger._marks(new, "blob"), "blob").where("__maybe").count() == 1
+    assert op8_blob_ledger.scan(more, ledger=ledger).where("size(findings) > 0").count() == 1
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(1, SECRETS[1], "x"), (2, "clean", "y"), (3, None, "z")], "doc_id long, text string, findings string")
     got = {r["doc_id"]: r["text"] for r in op8_blob_ledger.redact(frame).collect()}
