@@ -41,14 +41,18 @@ DROPPED_TAGS = frozenset(
     "header menu dialog head title meta link audio video map noembed noframes xmp".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar tooltip".split())
-DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|ted)?|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|"
+NAMES = (
+    r"ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed|s)?|promo(?:tion|ted)?|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscri(?:be|ption)|signup|"
     r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|sidebar|side-?bar|aside|widget|footer|masthead|site-?header|page-?header|topbar|toolbar|"
-    r"comments?|commentlist|disqus|replies|respond|discussion|share|sharing|social|related|recommend(?:ed|ations)?|outbrain|taboola|skip-?link|hidden|print-only)(?:$|[\s_-])",
-    re.I,
+    r"comments?|commentlist|disqus|replies|respond|discussion|share|sharing|social|related|recommend(?:ed|ations)?|outbrain|taboola|skip-?link|hidden|print-only"
 )
+#: Outside an article a part of a class or id is enough; inside, the whole name must say so, but for what names a box.
+DROPPED_NAMES = re.compile(rf"(?:^|[\s_-])(?:{NAMES})(?:$|[\s_-])", re.I)
+BOXES = r"box|boxes|container|wrapper|wrap|block|section|area|list|bar|buttons?|btns?|links?|icons?|form|slot|unit|top|bottom|inline|banner|notice|message|posts?|articles?|stories|content|media|tools?|\d+"
+DROPPED_WHOLE = re.compile(rf"(?:^|\s)(?:(?:site|page|post|article|entry|main|inline|reader|user|social|cookie|privacy)[_-]+)?(?:{NAMES})(?:[_-]+(?:{NAMES}|{BOXES}))*(?:$|\s)", re.I)
 SCORED = frozenset("p pre td blockquote li dd h2 h3 h4 h5 h6 div section article figcaption dt".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A tag's quoted values end before white space, a slash or the tag's end; where a quote is never closed so, the tag ends at the next ``>``.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*)>|([^>]*)(?:>|\Z))", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 
@@ -66,9 +70,31 @@ class Node:
         return ""
 
 
+#: Start tags that end an open element of the same kind, and what keeps them apart.
+KINDS = {
+    "p": (("p",), BLOCK),
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("table",)),
+    "option": (("option",), ("select",)),
+}
+KIND_OF = dict.fromkeys(ENDS_P, "p") | {"li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+
+
 def parse(html: str) -> Node:
-    """A tree of elements; texts are strings among the children."""
+    """A tree of elements; texts are strings among the children. Every step is paid for by the tags that it opens or closes."""
     root = here = Node("#root", "", None)
+    stack = [root]
+    # for each open element, where in the stack the innermost open one of each kind is
+    inner = [dict.fromkeys(KINDS, 0)]
+    count: dict[str, int] = {}
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            count[stack.pop().tag] -= 1
+            inner.pop()
+
     at, n = 0, len(html)
     while at < n:
         m = TOKEN.search(html, at)
@@ -82,33 +108,31 @@ def parse(html: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node.parent is not None and node.tag != tag:
-                node = node.parent
-            if node.parent is not None:
-                here = node.parent
+            if count.get(tag):
+                while stack[-1].tag != tag:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
+                here = stack[-1]
             continue
-        if tag in ENDS_P:
-            node = here
-            while node.parent is not None and node.tag != "p" and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                here = node.parent
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"li": ("li",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ("dt", "dd"))
-            stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}.get(tag, ("table",))
-            node = here
-            while node.parent is not None and node.tag not in same and node.tag not in stop:
-                node = node.parent
-            while node.tag in same:
-                here = node = node.parent
-        node = Node(tag, m[3], here)
+        for kind in ("p", KIND_OF.get(tag)) if tag in ENDS_P else (KIND_OF.get(tag),):
+            if kind and inner[-1][kind]:
+                close(inner[-1][kind])
+                while kind != "p" and stack[-1].tag in KINDS[kind][0]:
+                    close(len(stack) - 1)
+        here = stack[-1]
+        attrs = m[3] if m[3] is not None else m[4]
+        node = Node(tag, attrs, here)
         here.kids.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, at)
             node.kids.append(html[at : end.start()] if end else html[at:])
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not attrs.endswith("/"):
+            own = inner[-1]
+            changed = {k: len(stack) if tag in same else 0 for k, (same, stop) in KINDS.items() if tag in same or tag in stop}
+            stack.append(node)
+            inner.append(own | changed if changed else own)
+            count[tag] = count.get(tag, 0) + 1
             here = node
     return root
 
@@ -140,7 +164,8 @@ def _unwanted(node: Node, article: bool) -> bool:
         return True
     if "role" in low and node.attr("role").lower() in DROPPED_ROLES:
         return True
-    return ("class" in low or "id" in low) and bool(DROPPED_NAMES.search(f"{node.attr('class')} {node.attr('id')}"))
+    named = DROPPED_WHOLE if article else DROPPED_NAMES
+    return ("class" in low or "id" in low) and bool(named.search(f"{node.attr('class')} {node.attr('id')}"))
 
 
 def prune(root: Node) -> None:
@@ -166,12 +191,13 @@ def best(root: Node) -> list[Node]:
     """The best container and those of its siblings that belong to it, in page order."""
     size, linked = _measure(root)
     points: dict[Node, float] = {}
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        kids = [k for k in node.kids if isinstance(k, Node)]
-        todo += kids
-        if node.tag not in SCORED or node.parent is None or any(k.tag in BLOCK for k in kids):
+    # size holds every element after those below it; with blocks below, the text is theirs
+    outer: set[Node] = set()
+    for node in size:
+        if node.parent is not None and (node.tag in BLOCK or node in outer):
+            outer.add(node.parent)
+    for node in reversed(size):
+        if node.tag not in SCORED or node.parent is None or node in outer:
             continue
         text = _inline(node)
         if len(text) < 25:
