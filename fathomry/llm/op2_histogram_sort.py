@@ -2,7 +2,7 @@
 
 Rows have a total order by (group hash, row hash), so rows of one group
 (equal texts) lie side by side. Exact byte counts below candidate boundaries
-are taken across all partitions, first for about 4,096 leading-bit cells, then
+are taken across all partitions, first for 65,536 leading-bit cells, then
 by eight more key bits around each splitter that is not yet within tolerance.
 When all splitters are fixed, the rows are exchanged once, by cell.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TOP_BITS = 12
+TOP_BITS = 16
 STEP_BITS = 8
 HOT_SHARE = 1024
 
@@ -165,14 +165,18 @@ def histogram_shards(df: DataFrame, size: str, group: str, tie: list[str], n_sha
     light = common.cut(keyed.select("__h1", "__h2", F.col(size).cast("long").alias("__size")))
     n = light.count()
     most = max(1, n // HOT_SHARE)
-    hot = [(r["__h1"], min(TOP_BITS, max(1, (r["n"] // most).bit_length() + 1))) for r in light.groupBy("__h1").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()]
+    # a hot group makes its cell heavy, and fewer than HOT_SHARE cells are: only their rows are grouped
+    cell = F.shiftright("__h1", 64 - TOP_BITS).cast("int")
+    heavy = [r["c"] for r in light.groupBy(cell.alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > most).collect()]
+    counted = light.where(cell.isin(heavy)).groupBy("__h1").agg(F.count("*").alias("n")).where(F.col("n") > most).collect() if heavy else []
+    hot = [(r["__h1"], min(TOP_BITS, max(1, (r["n"] // most).bit_length() + 1))) for r in counted]
     hot.sort()
     light = _in_cells(light, hot)
     cut_at = splitters(light, hot, n_shards, tolerance, group_tolerance) if n else []
     shard = reduce(lambda a, b: a + b, [_at_least(bound).cast("int") for bound, _ in cut_at], F.lit(0))
     first = F.element_at(F.array(*[F.lit(x).cast("long") for x in [0, *[rows for _, rows in cut_at]]]), F.col("shard") + 1)
     cell = ["__d1", "__hot", "__d2"]
-    # at most 4,096 leading-bit cells and about 3 * 1,024 cells of hot groups
+    # at most 65,536 leading-bit cells and about 3 * 1,024 cells of hot groups
     offsets = light.groupBy(*cell).agg(F.count("*").alias("__n"))
     offsets = offsets.select(*cell, (F.sum("__n").over(Window.orderBy(*cell)) - F.col("__n")).alias("__offset"))
     rows = _in_cells(keyed, hot).withColumn("__rank", F.row_number().over(Window.partitionBy(*cell).orderBy("__h1", "__h2")))
