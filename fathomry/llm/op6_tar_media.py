@@ -7,8 +7,9 @@ columns (width, height, bit depth) come from range reads of the PNG header
 alone; the payload is read only where it is asked for.
 
 Each task attempt writes a shard of its own, so a retried task never touches
-another's file; rows refer only to shards of attempts that succeeded. Within
-a shard a payload is stored once. Across shards, all rows of one digest refer
+another's file; rows refer only to shards of attempts that succeeded, and ``sweep``
+removes the others. A task stores a payload once while it remembers it (SEEN
+payloads). Across shards, all rows of one digest refer
 to one place, chosen after the light index is written, so equal payloads have
 equal values without moving the payloads themselves.
 
@@ -42,6 +43,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Signature and IHDR chunk: all that the metadata columns need.
 HEADER_BYTES = 33
 LEVEL = 6
+#: Payloads that a task remembers, to store copies once.
+SEEN = 100_000
 PLACE = "digest string, shard string, offset long, length long"
 
 
@@ -99,17 +102,17 @@ class TarShard:
         self.name = f"shard-{uuid.uuid4().hex}.tar"
         store.create_dir(path, recursive=True)
         self.out = store.open_output_stream(f"{path}/{self.name}")
-        self.at, self.places = 0, {}
+        self.at = 0
 
     def add(self, digest: str, data: bytes) -> tuple[int, int]:
-        if digest not in self.places:
-            info = tarfile.TarInfo(digest)
-            info.size = len(data)
-            head = info.tobuf(tarfile.USTAR_FORMAT)
-            self.out.write(head + data + b"\0" * (-len(data) % tarfile.BLOCKSIZE))
-            self.places[digest] = (self.at + len(head), len(data))
-            self.at += len(head) + len(data) + -len(data) % tarfile.BLOCKSIZE
-        return self.places[digest]
+        """Offset and length of the object's bytes."""
+        info = tarfile.TarInfo(digest)
+        info.size = len(data)
+        head = info.tobuf(tarfile.USTAR_FORMAT)
+        self.out.write(head + data + b"\0" * (-len(data) % tarfile.BLOCKSIZE))
+        begin = self.at + len(head)
+        self.at = begin + len(data) + -len(data) % tarfile.BLOCKSIZE
+        return begin, len(data)
 
     def close(self) -> None:
         self.out.write(b"\0" * 2 * tarfile.BLOCKSIZE)
@@ -146,13 +149,15 @@ def store(rows: DataFrame, text: str, root: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seen = None, {}
-        for batch in batches:
+        for batch in common.slices(batches):
             made = []
             for value in batch.column("__text"):
                 data = (value.as_py() or "").encode()
                 shard = shard or TarShard(root)
                 # a repeated payload is neither encoded nor stored again
                 if (key := hashlib.sha256(data).digest()) not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     png = to_png(pad(data))
                     digest = hashlib.sha256(png).hexdigest()
                     seen[key] = (digest, *shard.add(digest, png))
@@ -192,28 +197,38 @@ def headers(index: DataFrame, root: str) -> DataFrame:
 
 
 def features(index: DataFrame, root: str) -> DataFrame:
-    """What the stored bytes say, read back and decoded, with the header's metadata; one row per object."""
+    """What the stored bytes say, read back and decoded; one row per object, whose digest is the SHA-256 of the bytes read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = TarReader(root)
-        for batch in batches:
+        for batch in common.slices(batches):
             made = []
             for r in batch.to_pylist():
-                width, height, depth = header_of(reader.read(r["shard"], r["offset"], min(HEADER_BYTES, r["length"])))
                 data = reader.read(r["shard"], r["offset"], r["length"])
+                if (digest := hashlib.sha256(data).hexdigest()) != r["digest"]:
+                    raise ValueError(f"{r['shard']} holds {digest} at {r['offset']}, not {r['digest']}")
                 payload = from_png(data)
                 samples = np.frombuffer(payload, np.uint8)
                 low = int(np.count_nonzero(samples < 128))
-                feature = f"png:{width}x{height}x{depth};sum={int(samples.sum(dtype=np.int64))};max={int(samples.max())};ascii={low}"
-                made.append((r["digest"], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ("digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-            columns = zip(*made, strict=True) if made else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+                feature = f"sum={int(samples.sum(dtype=np.int64))};max={int(samples.max())};ascii={low}"
+                made.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+            columns = zip(*made, strict=True) if made else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
         reader.close()
 
-    kind = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return common.map_batches(places(index), run, kind)
+    return common.map_batches(places(index), run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+
+
+def sweep(index: DataFrame, root: str) -> list[str]:
+    """Removes the shards that no row refers to, as failed attempts leave them; returns their names."""
+    store, path = fs.FileSystem.from_uri(root)
+    # one name for each task that wrote
+    used = {r["shard"] for r in index.select("shard").distinct().collect()}
+    gone = [f for f in store.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".tar") and f.base_name not in used]
+    for f in gone:
+        store.delete_file(f.path)
+    return sorted(f.base_name for f in gone)
 
 
 def members(data: bytes) -> dict[str, bytes]:
@@ -225,5 +240,9 @@ def members(data: bytes) -> dict[str, bytes]:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = common.fresh_dir(spark, "media")
     index = store(common.table(spark, sf_dir, "documents").select("doc_id", "text"), "text", root)
-    out = index.select("doc_id", "n_bytes", "digest").join(features(index, root), "digest")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = index.join(features(index, root), "digest").join(headers(index, root), "digest")
+    size = F.concat(F.lit("png:"), F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string"), F.col("depth").cast("string")))
+    return out.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.col("digest").alias("media_sha256"),
+        F.concat_ws(";", size, "feature").alias("feature"), "digest", "shard", "offset", "length",
+    )
