@@ -71,6 +71,8 @@ INFORMATION = 1e-5
 ROUNDS = 6
 #: What all documents together weigh beside the labelled ones.
 INFLUENCE = 0.1
+#: Distinct votes that a task sums up, about.
+VOTES = 20_000
 #: What each class is thought to have seen of a voter beforehand.
 SMOOTH = np.array([0.01, 0.05])
 ONE = 1 << 20
@@ -342,6 +344,8 @@ def label_model(voted: DataFrame, chosen: DataFrame, lexicon: Lexicon, key: str
     marked = voted.select(key, _fired(lexicon).alias("fired")).join(F.broadcast(chosen), key, "left")
     known = [F.count_if(F.col("toxic") == y).alias(f"known{'0' * (1 - y)}") for y in (0, 1)]
     votes = common.cut(marked.groupBy("fired").agg(F.count("*").alias("n"), *known))
+    # sums of a task are one row for each count: few rows of votes need few tasks
+    votes = votes.coalesce(max(1, votes.count() // VOTES))
     sure = _expected(votes, None, "known", m, None)
     model = LabelModel(m)
     if sure[0].min() > 0:
