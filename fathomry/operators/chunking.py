@@ -30,9 +30,10 @@ def windows(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, source: s
     rows = docs.select(F.col(source).alias("source"), words.alias("w")).where(F.size("w") > 0)
     # the last chunk is the first that reaches the end
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - size) / F.lit(step)).cast("int"))
-    rows = rows.select("source", "w", (last + 1).alias("total_chunks"), F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    part = F.slice("w", F.col("chunk_index") * step + 1, F.lit(size))
-    return rows.select(chunk_id(F.col("source").cast("string"), F.col("chunk_index")).alias("chunk_id"), "source", "chunk_index", "total_chunks", F.size(part).alias("token_count"), F.array_join(part, " ").alias("text"))
+    # each chunk carries its own words only
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("chunk_index"), F.slice("w", i * step + 1, F.lit(size)).alias("part")))
+    rows = rows.select("source", (last + 1).alias("total_chunks"), F.inline(parts))
+    return rows.select(chunk_id(F.col("source").cast("string"), F.col("chunk_index")).alias("chunk_id"), "source", "chunk_index", "total_chunks", F.size("part").alias("token_count"), F.array_join("part", " ").alias("text"))
 
 
 def split_sentences(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]:

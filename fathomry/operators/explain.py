@@ -54,3 +54,15 @@ def explained(found: DataFrame, mode: str, alpha: float = 0.5) -> DataFrame:
     fell = have("graph_fallback", "boolean") if mode == "graph" else F.lit(None).cast("boolean").alias("graph_fallback")
     parts = [reason(found, mode, alpha).alias("reason"), have("matched_terms", "array<string>"), fusion.alias("fusion"), have("relationship_path", "array<string>").alias("graph_path"), have("rerank_movement", "int"), fell]
     return found.withColumn("explanation", F.struct(*parts))
+
+
+def explain_result(found: DataFrame, chunk_id: object, key: str = "chunk_id") -> DataFrame:
+    """The one explained result of a chunk, with the fields of its explanation beside it.
+
+    A chunk that is not among the results is an error, as the question was why it is there.
+    """
+    own = found.where(F.col(key) == F.lit(chunk_id)).limit(1)
+    if own.isEmpty():
+        raise LookupError(f"{chunk_id!r} is not among the results of this query and mode")
+    rest = [c for c in own.columns if c in (key, "text", "source", "score")]
+    return own.select(*rest, "explanation.*")

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 ACTIVE = ("pending", "running")
 DONE = ("done", "failed", "cancelled")
 RETRIES, MOST_ACTIVE = 3, 100
+#: Seconds that a job may run, and log rows after which a snapshot replaces the log.
+TIMEOUT, COMPACT = 7200, 100
+MOVES = {"pending": ("running", "cancelled"), "running": ("done", "failed", "cancelled", "pending")}
 
 
 def dedupe_key(path: str, include_code: bool, operation: str, include: list[str] = (), exclude: list[str] = ()) -> str:
@@ -77,3 +80,44 @@ def durations(jobs: DataFrame) -> DataFrame:
     """Milliseconds from start to finish, and progress in per cent."""
     ms = F.timestamp_diff("MILLISECOND", F.col("started_at"), F.col("finished_at"))
     return jobs.withColumns({"execution_time_ms": ms, "percent_complete": F.round(F.coalesce(F.try_divide(100.0 * F.col("files_processed"), F.col("files_total")), F.lit(0.0)), 1)})
+
+
+def transition(jobs: DataFrame, moves: DataFrame) -> DataFrame:
+    """Applies moves (job_id, to) that the state allows; ``accepted`` tells which jobs moved. Moves of unknown jobs are left out."""
+    to = moves.groupBy("job_id").agg(F.min("to").alias("__to"))
+    allowed = [(F.col("status") == a) & F.col("__to").isin(*b) for a, b in MOVES.items()]
+    ok = F.coalesce(allowed[0] | allowed[1], F.lit(False))
+    rows = jobs.join(to, "job_id", "left")
+    return rows.withColumn("accepted", ok).withColumn("status", F.when(F.col("accepted"), F.col("__to")).otherwise(F.col("status"))).drop("__to")
+
+
+def time_out(jobs: DataFrame, now: Column, seconds: int = TIMEOUT) -> DataFrame:
+    """Running jobs that started too long ago have failed."""
+    late = (F.col("status") == "running") & (F.timestamp_diff("SECOND", F.col("started_at"), now) >= seconds)
+    return jobs.withColumns({"status": F.when(late, "failed").otherwise(F.col("status")), "error": F.when(late, F.lit(f"timed out after {seconds} s")).otherwise(F.col("error"))})
+
+
+def checked_delta(jobs: DataFrame) -> DataFrame:
+    """A finished job must have left more chunks than there were; as many will do if none had to be made, or if files were read and there are chunks.
+
+    jobs: status, chunks_before, chunks_after, chunks_to_create (null: not known), files_processed.
+    """
+    more = F.col("chunks_after") - F.col("chunks_before")
+    as_many = (more == 0) & ((F.coalesce("chunks_to_create", F.lit(-1)) == 0) | ((F.col("chunks_after") > 0) & (F.coalesce("files_processed", F.lit(0)) > 0)))
+    failed = (F.col("status") == "done") & ~((more > 0) | as_many)
+    return jobs.withColumn("status", F.when(failed, "failed").otherwise(F.col("status")))
+
+
+def append(log: DataFrame, path: str) -> None:
+    """Adds states to the log, JSON lines."""
+    log.write.mode("append").json(path)
+
+
+def compact(spark, path: str, schema, to: str, key: str = "job_id", seq: str = "seq", every: int = COMPACT) -> bool:
+    """Writes the last states to a new folder if the log has ``every`` rows more than jobs; tells whether it did. The log stays until the caller drops it."""
+    log = spark.read.schema(schema).json(path)
+    counts = log.agg(F.count("*").alias("n"), F.countDistinct(key).alias("jobs")).first()
+    if counts["n"] - counts["jobs"] < every:
+        return False
+    replay(log, key, seq).write.json(to)
+    return True

@@ -26,6 +26,11 @@ def code_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("total_chunks"), F.array_sort(F.collect_set("language")).alias("languages"), F.array_sort(F.collect_set("symbol_kind")).alias("symbol_kinds"))
 
 
+def by_language(chunks: DataFrame) -> DataFrame:
+    """Code documents of each language."""
+    return chunks.where(F.coalesce("source_type", F.lit("doc")) == "code").groupBy("language").agg(F.countDistinct("source").alias("n_documents"), F.count("*").alias("n_chunks"))
+
+
 def files(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source").agg(F.count("*").alias("n_chunks"), F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
 

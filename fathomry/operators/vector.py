@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomry.functions import scores
+from fathomry.functions.ship import ship
 
 from .bm25 import ranked
 
 #: Queries whose vectors travel together; larger batches take several passes.
 BLOCK = 512
+#: Queries of a batch that ``batch`` takes from a table, at most; vectors in one product at a time.
+MOST, TILE = 100_000, 4096
 
 
 def search(vectors: DataFrame, queries: list[tuple], k: int = 5, metric: str = "cosine", threshold: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -34,6 +41,57 @@ def search(vectors: DataFrame, queries: list[tuple], k: int = 5, metric: str = "
     return out if threshold is None else out.where(F.col("score") >= threshold)
 
 
+def _best(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Similarities of all queries and vectors, rounded as ``ranked`` rounds."""
+    product = q @ v.T
+    if metric == "inner_product":
+        out = np.maximum(product, 0.0)
+    elif metric == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.clip(product / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]), 0.0, 1.0)
+    else:
+        square = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * product
+        out = 1 / (1 + np.sqrt(np.maximum(square, 0.0)))
+    return np.round(out, 6)
+
+
+def batch(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, id, score, rank) for a table of at most MOST queries (query_id long, q); a query's own id is not left out.
+
+    The queries are one matrix that every task gets; a task multiplies it with
+    its vectors, TILE at a time, and passes on k rows per query. Ids are longs;
+    vectors of another length than the queries, and null ones, take no part.
+    """
+    if metric not in scores.METRICS:
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(scores.METRICS)}")
+    asked = queries.select("query_id", "q").where("query_id is not null and q is not null").orderBy("query_id").limit(MOST + 1).collect()
+    if len(asked) > MOST:
+        raise ValueError(f"more than {MOST} queries")
+    spark = vectors.sparkSession
+    n = len(asked[0]["q"]) if asked else 0
+    sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in asked], np.int64), np.array([r["q"] for r in asked], float).reshape(len(asked), n)))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == n))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = sent.value
+        best = (np.zeros((len(qids), 0)), np.zeros((len(qids), 0), np.int64))
+        for each in batches:
+            for i in range(0, each.num_rows, TILE):
+                part = each.slice(i, TILE)
+                ids = part.column("id").to_numpy(zero_copy_only=False)
+                v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                score = np.concatenate([best[0], _best(q, v, metric)], 1)
+                ids = np.concatenate([best[1], np.broadcast_to(ids, (len(qids), len(ids)))], 1)
+                order = np.lexsort((ids, -score), axis=1)[:, :k]
+                best = (np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1))
+        known = ~np.isnan(best[0].ravel())
+        columns = (np.repeat(qids, best[0].shape[1]), best[1].ravel(), best[0].ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(c[known]) for c in columns], names=["query_id", "id", "score"])
+
+    ship(spark)
+    return ranked(rows.mapInArrow(run, "query_id long, id long, score double"), k)
+
+
 def compatible(stored: dict, given: dict) -> None:
     """Vectors of different models are never compared."""
     for name in ("dimensions", "provider", "model"):

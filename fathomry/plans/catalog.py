@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomry.functions import entities, languages
@@ -630,3 +632,144 @@ def next_manifest(spark, sf_dir):
 def where_builder(spark, sf_dir):
     rows = _table(spark, sf_dir, "orders").where(filters.where({"o_orderstatus": ["F", "O"]}))
     return rows.select("o_orderkey", F.concat(F.lit("Ordered by "), F.col("o_custkey").cast("string")).alias("label"))
+
+
+# ---- imports, answers, single steps of jobs and tables
+
+
+_WRITTEN = "lower(replace(p_brand, '#', '_'))"
+
+
+@register(f"""WITH p AS (SELECT p_partkey, {_WRITTEN} AS b, p_size FROM part)
+SELECT 'mod_' || p_partkey AS subject, 'Module' AS subject_type, 'imports' AS predicate, b AS object, 'Module' AS object_type, p_partkey AS source_chunk_id FROM p
+UNION ALL SELECT 'mod_' || p_partkey, 'Module', 'imports', 'pkg.' || b, 'Module', p_partkey FROM p WHERE p_size > 25""")
+def import_triples(spark, sf_dir):
+    name = F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("_")))
+    text = F.concat(F.lit("import "), name, F.lit("\nx = 1\n"), F.when(F.col("p_size") > 25, F.concat(F.lit("from pkg."), name, F.lit(" import y\n"))).otherwise(F.lit(" import no\n")))
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), text.alias("text"), F.lit("python").alias("language"), F.concat(F.lit("/s/mod-"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("source"))
+    return triples.from_imports(rows)
+
+
+@register("""SELECT n_name AS subject, 'lies_in' AS predicate, 'Region ' || n_regionkey AS object, n_nationkey AS source_chunk_id FROM nation
+UNION ALL SELECT n_name, 'sells', 'Goods', n_nationkey FROM nation WHERE n_regionkey > 1""")
+def answer_triples(spark, sf_dir):
+    second = F.when(F.col("n_regionkey") > 1, F.concat(F.col("n_name"), F.lit(" | class | SELLS | Goods | module"))).otherwise(F.lit("no | triple"))
+    answer = F.concat_ws("\n", F.concat(F.col("n_name"), F.lit(" | Lies_In |  Region "), F.col("n_regionkey").cast("string")), F.lit("a || b"), second)
+    out = triples.from_answers(_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("chunk_id"), answer.alias("answer")))
+    return out.select("subject", "predicate", "object", "source_chunk_id")
+
+
+@register(f"{_DIFF.replace('WITH', 'WITH', 1)} SELECT file_path, CASE WHEN change = 'deleted' THEN 'deleted' ELSE 'added' END AS change FROM d")
+def forced_diff(spark, sf_dir):
+    return incremental.diff(*_versions(spark, sf_dir), force=True).select("file_path", "change")
+
+
+@register(f"WITH {_VERSIONS} SELECT chunk_id FROM old")
+def forced_eviction(spark, sf_dir):
+    return incremental.evicted(incremental.diff(*_versions(spark, sf_dir), force=True), force=True)
+
+
+@register(f"WITH {_LAST} SELECT job_id, CASE WHEN job_id = 7 AND status = 'pending' THEN 'cancelled' ELSE status END AS status, job_id = 7 AND status = 'running' AS cancel_requested FROM j")
+def job_cancel(spark, sf_dir):
+    rows = jobs.replay(_log(spark, sf_dir)).withColumn("cancel_requested", F.lit(None).cast("boolean"))
+    return jobs.cancel(rows, 7).select("job_id", "status", "cancel_requested")
+
+
+@register(f"WITH {_LAST} SELECT job_id, CAST(row_number() OVER (ORDER BY enqueued_at, job_id) AS INTEGER) AS place FROM j WHERE status = 'pending'")
+def job_fifo(spark, sf_dir):
+    ordered = jobs.pending(jobs.replay(_log(spark, sf_dir)))
+    return ordered.select("job_id", F.row_number().over(Window.orderBy("enqueued_at", "job_id")).alias("place"))
+
+
+@register("""WITH j AS (SELECT user_id AS job_id, min(ts) AS a, max(ts) AS b, count(*) AS total, count(*) FILTER (WHERE event_type = 'view') AS done FROM events GROUP BY user_id)
+SELECT job_id, CAST(floor((epoch_us(b) - epoch_us(a)) / 1000) AS BIGINT) AS execution_time_ms, round(100.0::DOUBLE * done / total, 1) AS percent_complete FROM j""")
+def job_durations(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.min("ts").alias("started_at"), F.max("ts").alias("finished_at"), F.count("*").alias("files_total"), F.count_if(F.col("event_type") == "view").alias("files_processed"))
+    return jobs.durations(rows).select("job_id", "execution_time_ms", "percent_complete")
+
+
+@register(f"""WITH {_LAST}, m AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 'running' ELSE 'done' END AS t FROM j),
+a AS (SELECT *, (status = 'pending' AND t = 'running') OR (status = 'running' AND t = 'done') AS accepted FROM m)
+SELECT job_id, CASE WHEN accepted THEN t ELSE status END AS status, accepted FROM a""")
+def job_transitions(spark, sf_dir):
+    now = jobs.replay(_log(spark, sf_dir))
+    moves = now.select("job_id", F.when(F.col("seq") % 2 == 0, "running").otherwise("done").alias("to"))
+    return jobs.transition(now, moves).select("job_id", "status", "accepted")
+
+
+@register("""SELECT user_id AS job_id, CASE WHEN count(*) FILTER (WHERE event_type = 'view') > count(*) FILTER (WHERE event_type = 'click') THEN 'done'
+WHEN count(*) FILTER (WHERE event_type = 'view') = count(*) FILTER (WHERE event_type = 'click') AND count(*) FILTER (WHERE event_type = 'view') > 0 AND count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'done' ELSE 'failed' END AS status FROM events GROUP BY user_id""")
+def job_delta_check(spark, sf_dir):
+    n = lambda kind: F.count_if(F.col("event_type") == kind)
+    rows = _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(n("click").alias("chunks_before"), n("view").alias("chunks_after"), n("error").alias("files_processed"))
+    rows = rows.withColumns({"status": F.lit("done"), "chunks_to_create": F.lit(None).cast("long")})
+    return jobs.checked_delta(rows).select("job_id", "status")
+
+
+@register("SELECT count(*) AS total_chunks, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages, array_to_string(list_sort(list(DISTINCT source)), ',') AS symbol_kinds FROM documents")
+def code_stats(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select(F.col("lang").alias("language"), F.col("source").alias("symbol_kind"))
+    return stats.code_stats(rows).select("total_chunks", F.array_join("languages", ",").alias("languages"), F.array_join("symbol_kinds", ",").alias("symbol_kinds"))
+
+
+@register("SELECT lang AS language, count(DISTINCT doc_id) AS n_documents, count(*) AS n_chunks FROM documents WHERE source IN ('src1', 'src2', 'src3') GROUP BY lang")
+def code_by_language(spark, sf_dir):
+    kind = F.when(F.col("source").isin("src1", "src2", "src3"), "code")
+    return stats.by_language(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.col("lang").alias("language"), kind.alias("source_type")))
+
+
+@register("""SELECT p_partkey, CASE WHEN p_size > 25 THEN lower(p_brand) || ',' || lower(p_type) ELSE 'none' END AS terms FROM part""")
+def headline_terms(spark, sf_dir):
+    marked = F.concat(F.lit("<<<"), "p_brand", F.lit(">>> and <<< "), "p_type", F.lit(" >>> <<<"), "p_brand", F.lit(">>>"))
+    found = fulltext.headline_terms(F.when(F.col("p_size") > 25, marked).otherwise(F.col("p_type")))
+    return _table(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.array_join(found, ","), F.lit("none")).alias("terms"))
+
+
+@register("SELECT doc_id, text FROM documents UNION ALL SELECT item_id, text FROM benchmark")
+def add_documents(spark, sf_dir):
+    return tables.add(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"))
+
+
+@register("SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 1.5::DOUBLE ELSE round(CAST(embedding[1] AS DOUBLE), 6) END AS first FROM embeddings")
+def embedding_update(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    new = rows.where("vec_id % 10 = 0").select("vec_id", F.array(F.lit(1.5)).alias("embedding")).unionByName(rows.limit(1).select(F.lit(-1).cast("long").alias("vec_id"), "embedding"))
+    return tables.update_column(rows, new, "embedding", "vec_id").select("vec_id", F.round(F.col("embedding")[0], 6).alias("first"))
+
+
+@register(f"WITH {_bm25_sql(5)} SELECT query_id, id AS doc_id, score, rank FROM ranked")
+def bm25_saved(spark, sf_dir):
+    """The index written and read again, as a restart does."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='index-')}"
+    path = f"{root.rstrip('/')}/bm25-{uuid.uuid4().hex}"
+    _index(spark, sf_dir).save(path)
+    return bm25.Index.load(spark, path).search(_asked(spark), 5).withColumnRenamed("id", "doc_id")
+
+
+@register("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, round(greatest(0.0, least(1.0, list_inner_product(c.v, q.v) / (sqrt(list_inner_product(c.v, c.v)) * sqrt(list_inner_product(q.v, q.v))))), 6) AS score FROM v q CROSS JOIN v c WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def vector_batch(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
+    return vector.batch(rows, asked, 5).withColumnRenamed("id", "vec_id")
+
+
+_GRAPH_LIST = f"""{_TRIPLES}, gl AS (SELECT 'q1' AS query_id, source_chunk_id AS id FROM t WHERE object = '/the' GROUP BY source_chunk_id),
+gr AS (SELECT query_id, id, 1.0::DOUBLE AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id) AS INTEGER) AS rank FROM gl QUALIFY rank <= 20)"""
+
+
+@register(f"""WITH {_BOTH_SQL}, {_GRAPH_LIST}, u AS (SELECT *, 'v' AS l FROM a UNION ALL SELECT *, 'b' AS l FROM b UNION ALL SELECT *, 'g' AS l FROM gr),
+g AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, CAST(coalesce(min(rank) FILTER (l = 'v'), 0) AS INTEGER) AS vector_rank, CAST(coalesce(min(rank) FILTER (l = 'b'), 0) AS INTEGER) AS bm25_rank, CAST(coalesce(min(rank) FILTER (l = 'g'), 0) AS INTEGER) AS graph_rank FROM u GROUP BY ALL)
+SELECT query_id, id AS doc_id, score, vector_rank, bm25_rank, graph_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM g QUALIFY rank <= 10""")
+def multi_three_lists(spark, sf_dir):
+    near, words = _both(spark, sf_dir)
+    own = _links(spark, sf_dir).where("object = '/the'").select(F.lit("q1").alias("query_id"), F.col("source_chunk_id").alias("id")).distinct().withColumn("score", F.lit(1.0))
+    lists = {"vector": near, "bm25": words, "graph": bm25.ranked(own, 20)}
+    return fusion.reciprocal_ranks(lists, 10).fillna(0, ["vector_rank", "bm25_rank", "graph_rank"]).withColumnRenamed("id", "doc_id")
+
+
+@register(f"""WITH r AS ({_rsf_sql(0.5, 10)}) SELECT doc_id, printf('Hybrid match (alpha=0.50): vector %.2f + BM25 %.2f -> fused %.2f', 0.5 * vector_score, 0.5 * bm25_score, score) AS reason FROM r WHERE query_id = 'q1' AND rank = 1""")
+def explain_result(spark, sf_dir):
+    found = explain.explained(hybrid_rsf(spark, sf_dir).where("query_id = 'q1'"), "hybrid", 0.5)
+    return explain.explain_result(found, found.where("rank = 1").first()["doc_id"], "doc_id").select("doc_id", "reason")

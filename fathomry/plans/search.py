@@ -40,7 +40,9 @@ def search(corpus: Corpus, request: QueryRequest) -> DataFrame:
     k = rerank.first_stage_size(request.top_k) if request.rerank else request.top_k
     asked = spark.range(1).select(F.lit("q").alias("query_id"), F.lit(request.query).alias("query"))
     conditions = {n: v for n, v in (("source_type", request.source_types), ("language", request.languages)) if v}
-    keep = corpus.chunks.where(filters.where(conditions)).select(F.col("chunk_id").alias("id")) if conditions else None
+    # a chunk without a source type is a document
+    typed = corpus.chunks.withColumn("source_type", F.coalesce("source_type", F.lit("doc"))) if request.source_types else corpus.chunks
+    keep = typed.where(filters.where(conditions)).select(F.col("chunk_id").alias("id")) if conditions else None
 
     def by_vector(threshold: float | None = request.similarity_threshold) -> DataFrame:
         if corpus.vectors is None or request.vector is None:

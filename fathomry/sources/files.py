@@ -12,15 +12,28 @@ from fathomry.functions import languages as lang
 from fathomry.functions import text as tx
 
 LARGEST = 10 * 1024 * 1024
+#: Changed files that are read by name; of more, all files are read.
+CHANGED = 10_000
+
+
+def _placed(root: str, path: Column) -> tuple[Column, Column]:
+    """(path, path below the root): local paths without a scheme, those of other stores as they are."""
+    local = "://" not in root or root.startswith("file://")
+    top = os.path.abspath(root.removeprefix("file://")) if local else root.rstrip("/")
+    bare = F.regexp_replace(path, "^file:/*", "/") if local else path
+    below = F.when(bare == top, F.regexp_extract(bare, "([^/]*)$", 1)).otherwise(F.substring(bare, len(top) + 2, 1 << 30))
+    return bare, below
+
+
+def _any_case(suffix: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
 
 def list_files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(path, relative, size, modified): file listing only, no contents are read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    bare = F.regexp_replace("path", "^file:/*", "/")
-    top = os.path.abspath(root.removeprefix("file://")) if "://" not in root or root.startswith("file://") else root.rstrip("/")
-    path = bare if top.startswith("/") else F.col("path")
-    return rows.select(F.col("path").alias("uri"), path.alias("path"), F.substring(path, len(top) + 2, 1 << 30).alias("relative"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    path, relative = _placed(root, F.col("path"))
+    return rows.select(F.col("path").alias("uri"), path.alias("path"), relative.alias("relative"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def wanted(path: Column, relative: Column, patterns: list[str] | None = None, include_code: bool = True, excludes: list[str] | None = None) -> Column:
@@ -35,13 +48,12 @@ def wanted(path: Column, relative: Column, patterns: list[str] | None = None, in
 def load(spark: SparkSession, root: str, recursive: bool = True, patterns: list[str] | None = None, include_code: bool = True, excludes: list[str] | None = None) -> DataFrame:
     """Documents: text, source, file_name, file_path, file_size, source_type, language. PDF and DOCX need a reader of their own and are left out.
 
-    Names are filtered in the listing; only files that stay are read.
+    Names are filtered in the listing, in any case; only files that stay are
+    read. ``root`` may be one file.
     """
     suffixes = sorted({p.removeprefix("*.") for p in patterns if p.startswith("*.")} if patterns else {s[1:] for s in (*lang.DOCUMENT_SUFFIXES, *lang.LANGUAGE_OF)})
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(root)
-    bare = F.regexp_replace("path", "^file:/*", "/")
-    top = os.path.abspath(root.removeprefix("file://"))
-    relative = F.substring(bare, len(top) + 2, 1 << 30)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(map(_any_case, suffixes)) + "}").load(root)
+    bare, relative = _placed(root, F.col("path"))
     keep = wanted(F.col("path"), relative, patterns, include_code, excludes) & ~lang.suffix(F.col("path")).isin(".pdf", ".docx")
     text = F.try_validate_utf8(F.col("content").cast("string"))
     code = lang.by_path(bare)
@@ -56,10 +68,27 @@ def load(spark: SparkSession, root: str, recursive: bool = True, patterns: list[
     )
 
 
-def checksums(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, checksum, mtime) of all files, for the manifest."""
+def checksums(spark: SparkSession, root: str, manifest: DataFrame | None = None) -> DataFrame:
+    """(file_path, checksum, mtime) of all files, for the manifest.
+
+    manifest: what is known of them (file_path, checksum, mtime). Files whose
+    time has not changed keep their checksum; only the others are read.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return rows.select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"), F.sha2("content", 256).alias("checksum"), F.col("modificationTime").cast("double").alias("mtime"))
+    rows = rows.withColumns({"file_path": _placed(root, F.col("path"))[0], "mtime": F.col("modificationTime").cast("double")})
+    if manifest is None:
+        return rows.select("file_path", F.sha2("content", 256).alias("checksum"), "mtime")
+    listed = rows.select("file_path", "mtime")
+    same = listed.join(manifest.select("file_path", "checksum", F.col("mtime").alias("__then")), "file_path").where("mtime = __then").select("file_path", "checksum", "mtime")
+    # a listing again of names; the join decides which contents are read
+    changed = [r["path"] for r in rows.select("path", "file_path").join(same, "file_path", "left_anti").limit(CHANGED + 1).collect()]
+    if not changed:
+        return same
+    if len(changed) > CHANGED:
+        return rows.select("file_path", F.sha2("content", 256).alias("checksum"), "mtime")
+    read = spark.read.format("binaryFile").load(changed)
+    read = read.select(_placed(root, F.col("path"))[0].alias("file_path"), F.sha2("content", 256).alias("checksum"), F.col("modificationTime").cast("double").alias("mtime"))
+    return same.unionByName(read)
 
 
 @dataclass(frozen=True)
