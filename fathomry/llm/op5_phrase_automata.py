@@ -7,8 +7,9 @@ words alone. The steps, all keyed by a document's id or by an anchor:
 1. texts that another document with a smaller id equals are set aside: all
    their windows are repeats. Texts are equal if their SHA-256 agree in 128 bits;
 2. all other texts are streamed for their anchors; anchors that occur in two
-   documents mark passages that may recur. The smallest and largest id of an
-   anchor are aggregated before the exchange, and the join back can be split;
+   documents mark passages that may recur. These rows of an id and an anchor move
+   once; those of one anchor, however common, are sorted in one task, which may
+   spill;
 3. the texts are streamed again, and the words around each such anchor (a
    region: all windows with that anchor) go to the anchor's shard; equal
    regions of a batch travel as one row with a list of places. What is left of
@@ -39,7 +40,7 @@ from itertools import compress
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -299,7 +300,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool
     """Per document: its id, n_words, n_removed and ``kept``, the kept words joined by spaces (digest: their SHA-256)."""
     sha = F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
     # a row is found again by its id and part; rows without an id would else be one group
-    part = F.when(F.col("did") == LAST, F.pmod(F.xxhash64("th"), F.lit(PARTS))).otherwise(0).cast("int").alias("part")
+    part = F.coalesce(F.when(F.col("did") == LAST, F.pmod(F.xxhash64("th"), F.lit(PARTS)).cast("int")), F.lit(0)).alias("part")
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("did"), sha.alias("th"), F.col(text).alias("text")).select("did", part, "th", "text")
     row = ["did", "part"]
     # the texts move once: all three streams below read this exchange
@@ -310,8 +311,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool
     flagged = dealt.join(copies, row, "left")
     own = flagged.where(F.col("copies").isNull() | ~F.array_contains("copies", F.col("th")))
     spots = common.map_batches(own.select(*row, "text"), _find_anchors, "anchor long, did long, part int")
-    twice = spots.groupBy("anchor").agg(F.min("did").alias("lo"), F.max("did").alias("hi")).where("lo < hi").select("anchor")
-    marked = spots.join(twice, "anchor").groupBy(*row).agg(F.collect_set("anchor").alias("anchors"))
+    # one exchange: an aggregate and a join back would move these rows twice
+    same = Window.partitionBy("anchor")
+    spots = spots.withColumns({"lo": F.min("did").over(same), "hi": F.max("did").over(same)}).where("lo < hi")
+    marked = spots.groupBy(*row).agg(F.collect_set("anchor").alias("anchors"))
     regions = common.map_batches(own.join(marked, row).select("did", "th", "text", "anchors"), _find_regions, "anchor long, low long, region binary, places binary")
     shards = regions.repartition("anchor").sortWithinPartitions("anchor", "low")
     hits = common.map_batches(shards, _run_shards, "did long, th binary, start long, mask long")
