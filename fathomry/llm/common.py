@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fathomry.functions.ship import ship
 
@@ -38,9 +41,28 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it is stored."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _remove_made() -> None:
+    for spark, path in _made:
+        if SparkContext._active_spark_context is spark.sparkContext:
+            remove(spark, path)
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; it goes when the application ends, as results may be read from it until then."""
+    if not _made:
+        atexit.register(_remove_made)
+    _made.append((spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"))
+    return _made[-1][1]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -49,6 +71,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _slot(bits: int, cols: tuple[str, ...]) -> Column:
+    return F.xxhash64(*cols).bitwiseAND((1 << bits) - 1)
+
+
+def _bit(slot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+
+
+def marks(keys: DataFrame, *cols: str, bits: int = 24) -> DataFrame:
+    """A bitmap of the hashes of some keys, 64 bits a row: 2 ** (bits - 6) rows at most."""
+    slot = _slot(bits, cols)
+    return keys.groupBy(F.shiftright(slot, 6).alias("__at")).agg(F.bit_or(_bit(slot)).alias("__bits"))
+
+
+def maybe(df: DataFrame, marked: DataFrame, *cols: str, bits: int = 24) -> DataFrame:
+    """Adds ``__maybe``: false only for rows whose key is not among the marked. The bitmap is sent to all tasks."""
+    slot = _slot(bits, cols)
+    out = df.withColumn("__at", F.shiftright(slot, 6)).join(F.broadcast(marked), "__at", "left")
+    return out.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(_bit(slot)) != 0, F.lit(False))).drop("__at", "__bits")
+
+
 #: Bytes and rows of an Arrow batch that are worked on at a time, unless one row has more.
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 1024
 

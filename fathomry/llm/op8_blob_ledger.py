@@ -4,10 +4,10 @@ Every version of a text is a blob, addressed by its SHA-256. The ledger is a
 Parquet table of (blob, rule, version, spans): what each rule version found in
 each blob. A scan reads only blobs with a (rule, version) that the ledger does
 not have, appends their findings, and joins the ledger back to all rows (paths)
-that hold the blob, so copies and old versions are never scanned again. Texts
-move only where a bitmap of the chosen rows' hashes (MARKS bits, broadcast) has a
-mark: blobs that the ledger knows, and other copies, stay where they are. The
-join back likewise moves only rows whose blob may have a finding.
+that hold the blob, so copies and old versions are never scanned again. Rules are
+applied where a text lies, to one row of each unseen blob, which a bitmap of the
+chosen rows and rules (MARKS bits, broadcast) tells; only spans are exchanged. The
+join back moves only rows whose blob may have a finding.
 
 Match offsets come from running sums of the lengths of matches and of the gaps
 between them, as ``regexp_extract_all`` and ``split`` find the same leftmost
@@ -15,7 +15,8 @@ non-overlapping matches.
 
 Defined results: a null text is an empty blob; blobs without findings have a
 ledger row with no spans; repeated rows each get the findings; an empty table
-gives an empty result; columns named like the outputs are replaced.
+gives an empty result; columns named like the outputs are replaced, others kept;
+a very long text is one row of the scan and takes memory in proportion.
 """
 
 from __future__ import annotations
@@ -79,27 +80,6 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path)
 
 
-def _slot(*cols: str) -> Column:
-    return F.xxhash64(*cols).bitwiseAND((1 << MARKS) - 1)
-
-
-def _bit(slot: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
-
-
-def _marks(keys: DataFrame, *cols: str) -> DataFrame:
-    """A bitmap of the hashes of some keys, 64 bits a row."""
-    slot = _slot(*cols)
-    return keys.groupBy(F.shiftright(slot, 6).alias("__at")).agg(F.bit_or(_bit(slot)).alias("__bits"))
-
-
-def _maybe(df: DataFrame, marks: DataFrame, *cols: str) -> DataFrame:
-    """Adds ``__maybe``: false only for rows whose key is not among the marked."""
-    slot = _slot(*cols)
-    out = df.withColumn("__at", F.shiftright(slot, 6)).join(F.broadcast(marks), "__at", "left")
-    return out.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(_bit(slot)) != 0, F.lit(False))).drop("__at", "__bits")
-
-
 def update_ledger(docs: DataFrame, text: str, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what the ledger has not seen yet and append it; returns the ledger of the given rule versions."""
     spark = docs.sparkSession
@@ -110,16 +90,19 @@ def update_ledger(docs: DataFrame, text: str, path: str, rules: tuple[Rule, ...]
     seen = open_ledger(spark, path).select("blob", "rule", "version")
     unseen = blobs.groupBy("blob").agg(F.min("__row").alias("__row"))
     unseen = unseen.select("*", F.inline(known)).join(seen, ["blob", "rule", "version"], "left_anti")
-    unseen = common.cut(unseen.groupBy("blob", "__row").agg(F.collect_set("rule").alias("todo")))
-    # one row of each unseen blob (several only if equal in all columns); no other text moves
-    moving = _maybe(blobs, _marks(unseen, "blob", "__row"), "blob", "__row").where("__maybe").drop("__maybe")
-    todo = moving.join(unseen.hint("shuffle_hash"), ["blob", "__row"])
+    unseen = common.cut(unseen.select("blob", "__row", "rule"))
+    # a rule is applied where one row of each unseen blob lies (several only if equal in all columns); texts don't move, spans do
+    marked = common.marks(unseen, "blob", "__row", "rule", bits=MARKS)
     none = F.array().cast("array<struct<gap:int,len:int,ok:boolean>>")
-    found = [
-        F.when(F.array_contains("todo", r.kind), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.when(r.may_match(F.col("__t")), _pieces(F.col("__t"), r)).otherwise(none).alias("pieces")))
-        for r in rules
-    ]
-    scanned = todo.select("blob", F.inline(F.array_compact(F.array(*found)))).dropDuplicates(["blob", "rule", "version"])
+    found = []
+    for i, r in enumerate(rules):
+        blobs = common.maybe(blobs.withColumn("rule", F.lit(r.kind)), marked, "blob", "__row", "rule", bits=MARKS).withColumnRenamed("__maybe", f"__todo{i}")
+        pieces = F.when(r.may_match(F.col("__t")), _pieces(F.col("__t"), r)).otherwise(none)
+        found.append(F.when(F.col(f"__todo{i}"), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), pieces.alias("pieces"))))
+    some = F.greatest(*[F.col(f"__todo{i}") for i in range(len(rules))]) if len(rules) > 1 else F.col("__todo0")
+    scanned = blobs.where(some).select("blob", "__row", F.inline(F.array_compact(F.array(*found))))
+    # the bitmap may have let through pairs that the ledger knows
+    scanned = scanned.join(unseen, ["blob", "__row", "rule"], "left_semi").dropDuplicates(["blob", "rule", "version"])
     pieces = scanned.select("blob", "rule", "version", F.posexplode_outer("pieces").alias("i", "p"))
     before = Window.partitionBy("blob", "rule", "version").orderBy("i")
     pieces = pieces.withColumn("end", F.sum(F.col("p.gap") + F.col("p.len")).over(before).cast("int"))
@@ -144,11 +127,12 @@ def _with_findings(docs: DataFrame, text: str, ledger: str | None, rules: tuple[
     per_blob = spans.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "kind", "end", "before"))).alias("__all"))
     per_blob = common.cut(per_blob)
     bare = F.transform("__all", lambda x: F.struct(x["start"].alias("start"), x["ord"].alias("ord"), x["kind"].alias("kind"), x["end"].alias("end")))
-    paths = docs.drop("findings", "blob").withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    paths = _maybe(paths, _marks(per_blob, "blob"), "blob")
-    with_some = paths.where("__maybe").join(per_blob, "blob", "left").drop("blob", "__maybe")
+    paths = docs.drop("findings").withColumn("__blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    per_blob = per_blob.withColumnRenamed("blob", "__blob")
+    paths = common.maybe(paths, common.marks(per_blob, "__blob", bits=MARKS), "__blob", bits=MARKS)
+    with_some = paths.where("__maybe").join(per_blob, "__blob", "left").drop("__blob", "__maybe")
     with_some = with_some.withColumns({"findings": F.coalesce(bare, F.array().cast(FINDING)), "__before": F.coalesce(F.col("__all.before"), F.array().cast("array<int>"))}).drop("__all")
-    without = paths.where(~F.col("__maybe")).drop("blob", "__maybe").withColumns({"findings": F.array().cast(FINDING), "__before": F.array().cast("array<int>")})
+    without = paths.where(~F.col("__maybe")).drop("__blob", "__maybe").withColumns({"findings": F.array().cast(FINDING), "__before": F.array().cast("array<int>")})
     return with_some.unionByName(without)
 
 
