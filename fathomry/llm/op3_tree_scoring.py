@@ -4,13 +4,15 @@ The page is parsed into a tree. Every paragraph-like block gives points for its
 commas and its length to its parent, and half of them to its grandparent; a
 container's points are discounted by its link density. The container with most
 points is the main one. Siblings of it stay if they score at least a fifth of
-it, or are paragraphs of prose with few links. Blocks that are never part of an
+it, or are prose with few links. Blocks that are never part of an
 article (navigation, asides, forms, scripts, adverts, notices, comments and the
 like, by tag, role or class) are removed before scoring, unless they enclose
 most of the page's text.
 
 Defined results: a null or empty page, or one without text, gives the empty
-string; unclosed and stray tags are read as browsers do; repeated rows each get
+string; unclosed and stray tags are read as browsers do, except that a slash which
+is no part of a value closes any tag; a very long page takes its tree, some ten times its
+length; repeated rows each get
 their text; an empty table gives an empty result; other columns are kept, and
 columns named like the outputs are replaced.
 """
@@ -50,24 +52,35 @@ NAMES = (
 DROPPED_NAMES = re.compile(rf"(?:^|[\s_-])(?:{NAMES})(?:$|[\s_-])", re.I)
 BOXES = r"box|boxes|container|wrapper|wrap|block|section|area|list|bar|buttons?|btns?|links?|icons?|form|slot|unit|top|bottom|inline|banner|notice|message|posts?|articles?|stories|content|media|tools?|\d+"
 DROPPED_WHOLE = re.compile(rf"(?:^|\s)(?:(?:site|page|post|article|entry|main|inline|reader|user|social|cookie|privacy)[_-]+)?(?:{NAMES})(?:[_-]+(?:{NAMES}|{BOXES}))*(?:$|\s)", re.I)
+HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+#: Siblings of the main container that are looked at for prose.
+TEXTS = frozenset("p div section blockquote pre".split())
 SCORED = frozenset("p pre td blockquote li dd h2 h3 h4 h5 h6 div section article figcaption dt".split())
 #: A tag's quoted values end before white space, a slash or the tag's end; where a quote is never closed so, the tag ends at the next ``>``.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*)>|([^>]*)(?:>|\Z))", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: The slash of ``<a name="x" />``; that of ``<a href=/x/>`` is the value's.
+CLOSED = re.compile(r"(?:^|[\s\"'])/\Z")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "parent", "tag")
+    __slots__ = ("kids", "parent", "raw", "read", "tag")
 
-    def __init__(self, tag: str, attrs: str, parent: Node | None):
-        self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+    def __init__(self, tag: str, raw: str, parent: Node | None):
+        self.tag, self.raw, self.parent, self.kids, self.read = tag, raw, parent, [], None
+
+    @property
+    def attrs(self) -> dict[str, str]:
+        """Values by name; the first of equal names counts."""
+        if self.read is None:
+            self.read = {}
+            for m in ATTR.finditer(self.raw):
+                self.read.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+        return self.read
 
     def attr(self, name: str) -> str:
-        for m in ATTR.finditer(self.attrs):
-            if m[1].lower() == name:
-                return unescape(m[2] or m[3] or m[4] or "")
-        return ""
+        return self.attrs.get(name, "")
 
 
 #: Start tags that end an open element of the same kind, and what keeps them apart.
@@ -127,7 +140,7 @@ def parse(html: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(html, at)
             node.kids.append(html[at : end.start()] if end else html[at:])
             at = end.end() if end else n
-        elif tag not in VOID and not attrs.endswith("/"):
+        elif tag not in VOID and not CLOSED.search(attrs):
             own = inner[-1]
             changed = {k: len(stack) if tag in same else 0 for k, (same, stop) in KINDS.items() if tag in same or tag in stop}
             stack.append(node)
@@ -155,17 +168,15 @@ def _unwanted(node: Node, article: bool) -> bool:
     if node.tag in DROPPED_TAGS:
         # an article's own header holds its title
         return not (node.tag == "header" and article)
-    if not node.attrs or node.tag in ("html", "body", "article", "main"):
+    if not node.raw or node.tag in ("html", "body", "article", "main"):
         return False
-    low = node.attrs.lower()
-    if "hidden" in low and re.search(r"(?:^|\s)hidden(?:$|[\s=/])|aria-hidden\s*=\s*[\"']?true", low):
-        return True
-    if "display" in low and re.search(r"display\s*:\s*none", low):
+    attrs = node.attrs
+    if "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true":
         return True
-    if "role" in low and node.attr("role").lower() in DROPPED_ROLES:
+    if HIDDEN_STYLE.search(attrs.get("style", "")) or attrs.get("role", "").strip().lower() in DROPPED_ROLES:
         return True
     named = DROPPED_WHOLE if article else DROPPED_NAMES
-    return ("class" in low or "id" in low) and bool(named.search(f"{node.attr('class')} {node.attr('id')}"))
+    return ("class" in attrs or "id" in attrs) and bool(named.search(f"{node.attr('class')} {node.attr('id')}"))
 
 
 def prune(root: Node) -> None:
@@ -225,7 +236,7 @@ def best(root: Node) -> list[Node]:
         if not isinstance(k, Node):
             continue
         density = linked[k] / max(1, size[k])
-        prose = k.tag == "p" and (size[k] > 80 and density < 0.25 or 0 < size[k] <= 80 and density == 0 and "." in _inline(k))
+        prose = k.tag in TEXTS and (size[k] > 80 and density < 0.25 or 0 < size[k] <= 80 and density == 0 and "." in _inline(k))
         if k is top or score.get(k, 0) >= least or prose:
             out.append(k)
     return out
