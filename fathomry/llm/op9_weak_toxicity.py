@@ -306,7 +306,7 @@ def _expected(votes: DataFrame, model: LabelModel | None, weight: str, m: int, p
 def forest(total: np.ndarray, one: np.ndarray, two: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of voters by how much they tell of one another given the class, without circles."""
     m = one.shape[1]
-    every = total.sum()
+    every = max(total.sum(), 1e-9)
     information = np.zeros((m, m))
     for y in (0, 1):
         n = max(total[y], 1e-9)
