@@ -41,6 +41,8 @@ HOT = 4096
 #: Buckets up to this size are compared by shifting the sorted rows against themselves.
 SMALL = 12
 CHUNK = 1 << 16
+#: Digits of the bitmap of documents that go: a million numbers at most are sent to the tasks.
+MARKS = 26
 #: For each of the five check bits, the positions 1 to 31 that it covers, as a mask.
 CHECKS = [sum(1 << (i - 1) for i in range(1, 32) if i >> j & 1) for j in range(5)]
 
@@ -207,12 +209,16 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", find: Cal
     hashed = docs.withColumn("__th", F.xxhash64(text))
     groups = common.cut(find(hashed.select(key, "__th", text), text, key).select("component", key, "__th"))
     first = F.min(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("__th").alias("t"))).alias("f")
-    kept = groups.groupBy("component").agg(first).select(F.col("f.k").alias("__k"), F.col("f.t").alias("__t"))
-    out = hashed.join(kept, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__t")), "left_semi")
-    # rows that agree in id and text are one document
-    if not groups.groupBy(key, "__th").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        out = out.dropDuplicates([key, "__th"])
-    return out.drop("__th")
+    own = F.col(key).eqNullSafe(F.col("f.k")) & (F.col("__th") == F.col("f.t"))
+    each = groups.groupBy("component", key, "__th").agg(F.count("*").alias("n")).join(groups.groupBy("component").agg(first), "component")
+    # what goes, and what is there more than once: only these rows move
+    met = common.cut(each.where(~own | (F.col("n") > 1)).select(F.col(key).alias("__k"), F.col("__th").alias("__t"), own.alias("__own")))
+    rows = common.maybe(hashed, common.marks(met, "__k", "__t", bits=MARKS), key, "__th", bits=MARKS)
+    known = F.col(key).eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__t"))
+    moved = rows.where("__maybe").join(met, known, "left").where("__own is null or __own")
+    once = moved.where("__own").dropDuplicates([key, "__th"])
+    columns = docs.columns
+    return rows.where("not __maybe").select(*columns).unionByName(moved.where("__own is null").select(*columns)).unionByName(once.select(*columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

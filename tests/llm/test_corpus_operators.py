@@ -190,6 +190,26 @@ def test_extract_keeps_rows(spark):
     assert op3_tree_scoring.extract(pages.limit(0)).count() == 0
 
 
+PROSE = "The article, with words, goes on for a while. " * 8
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        # a slash that ends an unquoted value closes nothing
+        ("<ul>" + "".join(f"<li><a href=/x{i}/>Item {i}</a>" for i in range(12)) + f"</ul><div id=main><p>{PROSE}</p><p>{PROSE}</p></div>", f"{PROSE.strip()}\n{PROSE.strip()}"),
+        (f"<aside id=a/>Sidebar</aside><div><p>{PROSE}</p></div>", PROSE.strip()),
+        (f'<div><p>{PROSE}</p><p>And<a name="x" /> on, it<br/>goes.</p></div>', f"{PROSE.strip()}\nAnd on, it goes."),
+        # names of attributes inside of values hide nothing
+        (f'<div><p>{PROSE}</p><p title="a hidden gem">Kept, this one, too.</p><p data-note="display:none is css">And this.</p><p hidden>Not this.</p><p style="color:red; display: none">Nor this.</p><p aria-hidden=true>Nor this.</p></div>', f"{PROSE.strip()}\nKept, this one, too.\nAnd this."),
+        # the short tail of an article in a box of its own
+        (f"<div><div id=x><p>{PROSE}</p></div><div><p>A short tail.</p></div><div><a href=y>More. Links.</a></div></div>", f"{PROSE.strip()}\nA short tail."),
+    ],
+)
+def test_awkward_markup(html, text):
+    assert op3_tree_scoring.main_text(html) == text
+
+
 # ---- op4
 
 
@@ -392,10 +412,21 @@ def test_known_texts_do_not_move(spark, tmp_path):
     more = frame.unionByName(spark.createDataFrame([(900, "new secret=abcdefghijklmnop")], frame.schema))
     blobs = more.select(F.unhex(F.sha2("text", 256)).alias("blob"))
     new = blobs.join(op8_blob_ledger.open_ledger(spark, ledger), "blob", "left_anti")
-    assert op8_blob_ledger._maybe(blobs, op8_blob_ledger._marks(new, "blob"), "blob").where("__maybe").count() == 1
+    assert common.maybe(blobs, common.marks(new, "blob"), "blob").where("__maybe").count() == 1
     assert op8_blob_ledger.scan(more, ledger=ledger).where("size(findings) > 0").count() == 1
 
 
+def test_callers_columns_stay_and_only_new_rules_scan(spark):
+    frame = spark.createDataFrame([(1, SECRETS[1], "mine", 3), (2, "deadbeefdeadbeef00 " + "é" * 1_500_000, "too", 4)], "doc_id long, text string, blob string, rule int")
+    ledger = common.fresh_dir(spark, "ledger")
+    rules = op8_blob_ledger.RULES
+    first = op8_blob_ledger.scan(frame, ledger=ledger, rules=rules[:1])
+    assert first.columns == ["doc_id", "text", "blob", "rule", "findings"] and first.count() == 2
+    both = op8_blob_ledger.scan(frame, ledger=ledger, rules=rules).collect()
+    assert op8_blob_ledger.open_ledger(spark, ledger).groupBy("rule").count().where("count = 2").count() == 3
+    assert {(r.blob, r.rule, len(r.findings)) for r in both} == {("mine", 3, 3), ("too", 4, 1)}
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(1, SECRETS[1], "x"), (2, "clean", "y"), (3, None, "z")], "doc_id long, text string, findings string")
     got = {r["doc_id"]: r["text"] for r in op8_blob_ledger.redact(frame).collect()}
