@@ -16,8 +16,8 @@ from .bm25 import ranked
 
 #: Queries whose vectors travel together; larger batches take several passes.
 BLOCK = 512
-#: Queries of a batch that ``batch`` takes from a table, at most; vectors in one product at a time.
-MOST, TILE = 100_000, 4096
+#: Bytes of query vectors that a pass of ``batch`` sends to all tasks; queries and vectors in one product.
+PASS_BYTES, ASKED, TILE = 32 << 20, 1024, 4096
 
 
 def search(vectors: DataFrame, queries: list[tuple], k: int = 5, metric: str = "cosine", threshold: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -55,41 +55,73 @@ def _best(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return np.round(out, 6)
 
 
+def _stacked(ids: pa.Array, column: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, matrix) of the vectors of each length; null components are not numbers."""
+    sizes = column.value_lengths().fill_null(0).to_numpy()
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        at = pa.array(np.flatnonzero(sizes == n))
+        yield n, ids.take(at).to_numpy(zero_copy_only=False), column.take(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def _kept(at: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query (by number), ties to the smaller id."""
+    order = np.lexsort((ids, -score, at))
+    at, ids, score = at[order], ids[order], score[order]
+    top = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[top], ids[top], score[top]
+
+
 def batch(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank) for a table of at most MOST queries (query_id long, q); a query's own id is not left out.
+    """(query_id, id, score, rank) for a table of queries (query_id, q) of any number; a query's own id is not left out.
 
-    The queries are one matrix that every task gets; a task multiplies it with
-    its vectors, TILE at a time, and passes on k rows per query. Ids are longs;
-    vectors of another length than the queries, and null ones, take no part.
+    Queries travel in passes of PASS_BYTES, each of which reads the vectors once.
+    A task multiplies ASKED queries by TILE vectors at a time and passes on k rows per query. Ids are
+    longs. Queries and vectors of different lengths do not meet; null ones, and those with null or
+    NaN components, take no part.
     """
     if metric not in scores.METRICS:
         raise ValueError(f"unknown metric {metric!r}; known: {', '.join(scores.METRICS)}")
-    asked = queries.select("query_id", "q").where("query_id is not null and q is not null").orderBy("query_id").limit(MOST + 1).collect()
-    if len(asked) > MOST:
-        raise ValueError(f"more than {MOST} queries")
-    spark = vectors.sparkSession
-    n = len(asked[0]["q"]) if asked else 0
-    sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in asked], np.int64), np.array([r["q"] for r in asked], float).reshape(len(asked), n)))
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == n))
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).where("query_id is not null and q is not null")
+    size = asked.agg(F.sum(8 * F.size("q"))).first()[0] or 0
+    passes = max(1, -(-size // PASS_BYTES))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    out = None
+    for i in range(passes):
+        part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
+        found = _pass(rows, part, k, metric)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, k)
+
+
+def _pass(rows: DataFrame, asked: DataFrame, k: int, metric: str) -> DataFrame:
+    spark = rows.sparkSession
+    got = asked.toArrow().combine_chunks()
+    by_length = {n: (ids, q) for n, ids, q in _stacked(got["query_id"].combine_chunks(), got["q"].combine_chunks())} if got.num_rows else {}
+    sent = spark.sparkContext.broadcast(by_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = sent.value
-        best = (np.zeros((len(qids), 0)), np.zeros((len(qids), 0), np.int64))
+        best: dict[tuple[int, int], tuple] = {}
         for each in batches:
-            for i in range(0, each.num_rows, TILE):
-                part = each.slice(i, TILE)
-                ids = part.column("id").to_numpy(zero_copy_only=False)
-                v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-                score = np.concatenate([best[0], _best(q, v, metric)], 1)
-                ids = np.concatenate([best[1], np.broadcast_to(ids, (len(qids), len(ids)))], 1)
-                order = np.lexsort((ids, -score), axis=1)[:, :k]
-                best = (np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1))
-        known = ~np.isnan(best[0].ravel())
-        columns = (np.repeat(qids, best[0].shape[1]), best[1].ravel(), best[0].ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(c[known]) for c in columns], names=["query_id", "id", "score"])
+            for n, ids, v in _stacked(each.column("id"), each.column("v")):
+                if n not in sent.value:
+                    continue
+                q = sent.value[n][1]
+                for i in range(0, len(v), TILE):
+                    for j in range(0, len(q), ASKED):
+                        score = _best(q[j : j + ASKED], v[i : i + TILE], metric)
+                        score[np.isnan(score)] = -np.inf
+                        least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+                        at, col = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                        new = (at, ids[i + col], score[at, col])
+                        old = best.get((n, j))
+                        best[n, j] = _kept(*(new if old is None else map(np.concatenate, zip(old, new, strict=True))), k)
+        for (n, j), (at, ids, score) in best.items():
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value[n][0][j + at]), pa.array(ids), pa.array(score)], names=["query_id", "id", "score"])
 
     ship(spark)
-    return ranked(rows.mapInArrow(run, "query_id long, id long, score double"), k)
+    kind = asked.schema["query_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"query_id {kind}, id long, score double")
 
 
 def compatible(stored: dict, given: dict) -> None:

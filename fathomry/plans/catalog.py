@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +9,8 @@ from pyspark.sql import functions as F
 
 from fathomry.functions import entities, languages
 from fathomry.functions import text as tx
-from fathomry.operators import bm25, caches, chunking, explain, filters, fulltext, fusion, graph, incremental, jobs, rerank, stats, triples, vector
-from fathomry.sources import tables
+from fathomry.operators import bm25, caches, cells, chunking, explain, filters, fulltext, fusion, graph, incremental, jobs, postings, rerank, stats, triples, vector
+from fathomry.sources import shared, tables
 from fathomry.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +104,23 @@ def _index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     return _INDEXES[key]
 
 
+_STORED: dict[tuple[str, str], postings.TextIndex] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> postings.TextIndex:
+    """The stored index of the documents' sources and texts: written once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        docs = _table(spark, sf_dir, "documents")
+        tasks = spark.sparkContext.defaultParallelism
+        if len(docs.inputFiles()) < tasks:
+            docs = docs.repartition(tasks)
+        made = postings.TextIndex(spark, shared.fresh(spark, "text-index"), fields={"source": "a", "text": "c"})
+        made.add(docs.select("doc_id", "source", "text"))
+        _STORED[key] = made
+    return _STORED[key]
+
+
 def _nearest(spark: SparkSession, sf_dir: str, k: int, metric: str = "cosine", threshold: float | None = None) -> DataFrame:
     return vector.search(_table(spark, sf_dir, "embeddings"), list(VECTORS.items()), k, metric, threshold)
 
@@ -127,7 +142,7 @@ def bm25_filtered(spark, sf_dir):
 @register(f"WITH {_bm25_sql(3, 'asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)')} SELECT query_id, id AS doc_id, score, rank FROM ranked")
 def bm25_batch(spark, sf_dir):
     asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return _index(spark, sf_dir).search(asked, 3).withColumnRenamed("id", "doc_id")
+    return _stored(spark, sf_dir).bm25(asked, 3).withColumnRenamed("id", "doc_id")
 
 
 @register(f"""WITH w AS (SELECT unnest({_tok("text")}) AS term, doc_id, lang FROM documents)
@@ -236,8 +251,39 @@ SELECT id, round(CASE WHEN max(score) OVER () > 0 THEN score / max(score) OVER (
 
 @register(_fulltext_sql("(list_contains(e, 'pathetic') OR list_contains(e, 'loser')) AND contains(line, ' in the ') AND NOT list_contains(e, 'src3')", ["in", "loser", "pathetic", "the"]))
 def fulltext_websearch(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    return fulltext.search(docs, 'pathetic OR loser "in the" -src3', 10, fields={"source": "a", "text": "c"})
+    asked = spark.range(1).select(F.lit(1).alias("query_id"), F.lit('pathetic OR loser "in the" -src3').alias("query"))
+    return _stored(spark, sf_dir).fulltext(asked, 10).drop("query_id")
+
+
+def _phrases(text: str) -> str:
+    """The first three words of a text as a phrase, in SQL."""
+    return f"array_to_string({_raw(text)}[1:3], ' ')"
+
+
+@register(f"""WITH q AS (SELECT item_id AS query_id, {_raw("text")}[1:3] AS p, ' ' || {_phrases("text")} || ' ' AS line FROM benchmark WHERE len({_raw("text")}) >= 3),
+w AS (SELECT doc_id AS id, {_raw("text")} AS w, {_raw("source")} AS a FROM documents), s AS (SELECT *, ' ' || array_to_string(list_concat(a, w), ' ') || ' ' AS line FROM w),
+f AS (SELECT query_id, id, 1.0::DOUBLE * len(list_filter(a, lambda t: list_contains(p, t))) / (1 + ln(1 + len(a))) + 0.2::DOUBLE * len(list_filter(w, lambda t: list_contains(p, t))) / (1 + ln(1 + len(w))) AS score FROM s JOIN q ON contains(s.line, q.line)),
+t AS (SELECT query_id, id, score / max(score) OVER (PARTITION BY query_id) AS s, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM f)
+SELECT query_id, id AS doc_id, round(s, 6) AS score, rank FROM t WHERE rank <= 3""")
+def fulltext_phrases(spark, sf_dir):
+    """Which documents hold the first three words of each benchmark passage, side by side."""
+    words = F.slice(tx.raw_tokens(F.col("text")), 1, 3)
+    asked = _table(spark, sf_dir, "benchmark").where(F.size(tx.raw_tokens(F.col("text"))) >= 3)
+    asked = asked.select(F.col("item_id").alias("query_id"), F.concat(F.lit('"'), F.array_join(words, " "), F.lit('"')).alias("query"))
+    return _stored(spark, sf_dir).fulltext(asked, 3).withColumnRenamed("id", "doc_id")
+
+
+@register(f"WITH {_bm25_sql(3, 'asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)')} SELECT query_id, id AS doc_id, score, rank FROM ranked")
+def bm25_increments(spark, sf_dir):
+    """The same answers from an index that came in three steps: a part, a replacement of some of it with the rest, and a removal with what came back."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    made = postings.TextIndex(spark, shared.fresh(spark, "text-index"), fields={"source": "a", "text": "c"})
+    made.add(docs.where("doc_id % 3 > 0").withColumn("text", F.when(F.col("doc_id") % 3 == 1, F.lit("an older text")).otherwise(F.col("text"))))
+    made.add(docs.where("doc_id % 3 < 2"))
+    made.remove(docs.where("doc_id % 50 = 0").select("doc_id"))
+    made.add(docs.where("doc_id % 50 = 0"))
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return made.bm25(asked, 3).withColumnRenamed("id", "doc_id")
 
 
 @register(f"""WITH {_bm25_sql(50)}, c AS (SELECT r.query_id, r.id, r.rank AS original_rank, len(list_filter({_tok("query")}, lambda x: list_contains({_tok("text")}, x))) / len({_tok("query")}) AS s,
@@ -740,8 +786,7 @@ def embedding_update(spark, sf_dir):
 @register(f"WITH {_bm25_sql(5)} SELECT query_id, id AS doc_id, score, rank FROM ranked")
 def bm25_saved(spark, sf_dir):
     """The index written and read again, as a restart does."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='index-')}"
-    path = f"{root.rstrip('/')}/bm25-{uuid.uuid4().hex}"
+    path = shared.fresh(spark, "bm25")
     _index(spark, sf_dir).save(path)
     return bm25.Index.load(spark, path).search(_asked(spark), 5).withColumnRenamed("id", "doc_id")
 
@@ -755,6 +800,24 @@ def vector_batch(spark, sf_dir):
     return vector.batch(rows, asked, 5).withColumnRenamed("id", "vec_id")
 
 
+@register("SELECT count(*) AS queries, 5 * count(*) AS wanted, true AS enough FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 20 = 0")
+def vector_cells_recall(spark, sf_dir):
+    """How many of the five nearest vectors the cells find, against all vectors; enough: nine in ten."""
+    exact = vector_batch(spark, sf_dir).select("query_id", "vec_id")
+    found = vector_cells(spark, sf_dir).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("wanted"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+@register()
+def vector_cells(spark, sf_dir):
+    """The nearest vectors of every vector whose id is divisible by 20, from the cells that each probes."""
+    rows = _table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    made = cells.CellIndex.build(rows, shared.fresh(spark, "cells"))
+    return made.search(asked, 5).withColumnRenamed("id", "vec_id")
+
+
 _GRAPH_LIST = f"""{_TRIPLES}, gl AS (SELECT 'q1' AS query_id, source_chunk_id AS id FROM t WHERE object = '/the' GROUP BY source_chunk_id),
 gr AS (SELECT query_id, id, 1.0::DOUBLE AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id) AS INTEGER) AS rank FROM gl QUALIFY rank <= 20)"""
 

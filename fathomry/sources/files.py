@@ -12,8 +12,6 @@ from fathomry.functions import languages as lang
 from fathomry.functions import text as tx
 
 LARGEST = 10 * 1024 * 1024
-#: Changed files that are read by name; of more, all files are read.
-CHANGED = 10_000
 
 
 def _placed(root: str, path: Column) -> tuple[Column, Column]:
@@ -72,7 +70,8 @@ def checksums(spark: SparkSession, root: str, manifest: DataFrame | None = None)
     """(file_path, checksum, mtime) of all files, for the manifest.
 
     manifest: what is known of them (file_path, checksum, mtime). Files whose
-    time has not changed keep their checksum; only the others are read.
+    time has not changed keep their checksum, however many there are; contents are read of
+    files whose time lies within that of the changed ones.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rows = rows.withColumns({"file_path": _placed(root, F.col("path"))[0], "mtime": F.col("modificationTime").cast("double")})
@@ -80,15 +79,14 @@ def checksums(spark: SparkSession, root: str, manifest: DataFrame | None = None)
         return rows.select("file_path", F.sha2("content", 256).alias("checksum"), "mtime")
     listed = rows.select("file_path", "mtime")
     same = listed.join(manifest.select("file_path", "checksum", F.col("mtime").alias("__then")), "file_path").where("mtime = __then").select("file_path", "checksum", "mtime")
-    # a listing again of names; the join decides which contents are read
-    changed = [r["path"] for r in rows.select("path", "file_path").join(same, "file_path", "left_anti").limit(CHANGED + 1).collect()]
-    if not changed:
+    # the listing drops files by time before it reads contents; which of the rest count is for the join to say
+    changed = listed.join(same, "file_path", "left_anti")
+    span = changed.agg(F.min("mtime").alias("first"), F.max("mtime").alias("last")).first()
+    if span["first"] is None:
         return same
-    if len(changed) > CHANGED:
-        return rows.select("file_path", F.sha2("content", 256).alias("checksum"), "mtime")
-    read = spark.read.format("binaryFile").load(changed)
-    read = read.select(_placed(root, F.col("path"))[0].alias("file_path"), F.sha2("content", 256).alias("checksum"), F.col("modificationTime").cast("double").alias("mtime"))
-    return same.unionByName(read)
+    within = F.col("modificationTime").between(F.timestamp_seconds(F.lit(span["first"])), F.timestamp_seconds(F.lit(span["last"])))
+    read = rows.where(within).select("file_path", F.sha2("content", 256).alias("checksum"), "mtime")
+    return same.unionByName(read.join(same.select("file_path"), "file_path", "left_anti"))
 
 
 @dataclass(frozen=True)

@@ -35,6 +35,12 @@ def test_only_changed_files_are_hashed(spark, tmp_path):
     os.utime(tmp_path / "1.md", (1, 1))
     found = {os.path.basename(r["file_path"]): r["checksum"] for r in files.checksums(spark, str(tmp_path), marked).collect()}
     assert [found[f"{i}.md"].startswith("old-") for i in range(3)] == [True, False, True]
+    # the same law if all but one changed: who kept its time keeps its checksum, though it lies between them
+    os.utime(tmp_path / "0.md", (2, 2))
+    moved = marked.withColumn("mtime", F.when(F.col("file_path").endswith("0.md"), F.lit(2.0)).otherwise(F.lit(-1.0)))
+    os.utime(tmp_path / "2.md", (9, 9))
+    found = {os.path.basename(r["file_path"]): r["checksum"] for r in files.checksums(spark, str(tmp_path), moved).collect()}
+    assert [found[f"{i}.md"].startswith("old-") for i in range(3)] == [True, False, False]
 
 
 def test_snapshots_are_restored(spark, tmp_path):
@@ -105,14 +111,23 @@ def test_documents_without_a_type_are_documents(spark):
         explain.explain_result(found, "b")
 
 
-def test_vector_batches(spark):
+def test_vector_batches(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)] + [(99, None), (98, [1.0])], "vec_id long, embedding array<double>").repartition(3)
     asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "query_id long, q array<double>")
-    for metric in ("cosine", "l2", "inner_product"):
+    monkeypatch.setattr(vector, "TILE", 7)
+    monkeypatch.setattr(vector, "ASKED", 1)
+    for metric, size in (("cosine", 1), ("l2", 16), ("inner_product", 1 << 20)):
+        monkeypatch.setattr(vector, "PASS_BYTES", size)
         many = sorted(map(tuple, vector.batch(rows, asked, 4, metric).collect()))
         each = sorted(map(tuple, vector.search(rows, [(1, [1.0, 0.0]), (2, [-1.0, 0.0])], 4, metric).collect()))
         assert many == each
     assert vector.batch(rows, asked.limit(0)).count() == 0
+    # unequal lengths do not meet, null and NaN components take no part
+    odd = spark.createDataFrame([(1, [2.0]), (2, [0.0, 1.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [])], asked.schema)
+    assert sorted((r.query_id, r.id) for r in vector.batch(rows, odd, 1).collect()) == [(1, 98), (2, 0)]
+    # ties go to the smaller id, however many there are
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50, 0, -1)], rows.schema).repartition(3)
+    assert sorted(r.id for r in vector.batch(same, asked.where("query_id = 1"), 4).collect()) == [1, 2, 3, 4]
 
 
 def test_code_by_language(spark):
