@@ -41,6 +41,8 @@ from .bm25 import K1, B, ranked
 SHARD, LEVELS = 100_000, 8
 #: Pairs of query and term that a pass sends to all tasks.
 PAIRS = 200_000
+#: Terms of a query up to which levels are passed over.
+FEW = 8
 #: Terms up to which they are named in the scan's filter.
 NAMED = 10_000
 #: Scores that differ by less, as a share of what the query can reach, may tie once rounded.
@@ -53,6 +55,7 @@ class TextIndex:
     def __init__(self, spark: SparkSession, path: str, key: str = "doc_id", fields: dict[str, str] | None = None, body: str = "text"):
         self.spark, self.path, self.key, self.body = spark, path.rstrip("/"), key, body
         self.fields = fields or {body: "c"}
+        self._known: dict[tuple, object] = {}
 
     # ---- segments
 
@@ -80,12 +83,21 @@ class TextIndex:
 
     def _read(self, table: str) -> DataFrame | None:
         """A table of all segments, with ``seg``."""
-        parts = [self.spark.read.parquet(f"{self.path}/seg-{n:08d}/{table}").withColumn("seg", F.lit(n)) for n in self.segments()]
+        parts = []
+        for n in self.segments():
+            # a complete segment never changes: its schema is asked for once
+            at = f"{self.path}/seg-{n:08d}/{table}"
+            if at not in self._known:
+                self._known[at] = self.spark.read.parquet(at).withColumn("seg", F.lit(n))
+            parts.append(self._known[at])
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def totals(self) -> dict:
         """n, avgdl, and for each segment its own mean length and number of shards."""
-        rows = self._read("totals").collect() if self.segments() else []
+        now = tuple(self.segments())
+        if now not in self._known:
+            self._known[now] = self._read("totals").collect() if now else []
+        rows = self._known[now]
         n = sum(r["n"] - r["n_gone"] for r in rows)
         dl = sum(r["dl"] - r["dl_gone"] for r in rows)
         return {"n": n, "avgdl": dl / n if n else 0.0, "segments": {r["seg"]: (r["dl"] / r["n"] if r["n"] else 0.0, r["shards"]) for r in rows}}
@@ -169,7 +181,9 @@ class TextIndex:
         if rows is None:
             return None
         named = [r[0] for r in terms.select("term").distinct().limit(NAMED + 1).collect()]
-        rows = rows.where(F.col("term").isin(*named)) if len(named) <= NAMED else rows.join(terms.select("term").distinct(), "term", "left_semi")
+        # tokens hold no quotes; one text is read far faster than a literal for each of them
+        listed = "term in ('" + "', '".join(sorted(named)) + "')"
+        rows = rows.where(listed if named else "false") if len(named) <= NAMED else rows.join(terms.select("term").distinct(), "term", "left_semi")
         return (rows.where(F.col("field") == self.body) if body else rows).select("seg", "shard", "term", *columns)
 
     def _counts(self, terms: DataFrame) -> dict[str, int]:
@@ -310,6 +324,7 @@ def score_shard(shard: pa.Table, queries: dict, idf: dict[str, float], stretch:
     levels: dict[str, list[tuple[float, int]]] = {}
     for i, (t, top) in enumerate(zip(rows["term"].to_pylist(), rows["top"].to_pylist(), strict=True)):
         levels.setdefault(t, []).append((min(1.0, top * stretch) * idf.get(t, 0.0), i))
+    whole = {t: (edge[own[0][1]], edge[own[-1][1] + 1]) for t, own in levels.items()}
     for own in levels.values():
         own.sort(reverse=True)
     for q, terms in queries.items():
@@ -325,8 +340,15 @@ def score_shard(shard: pa.Table, queries: dict, idf: dict[str, float], stretch:
                 a, b = edge[i], edge[i + 1]
                 score[at[a:b]] += weight[i] * gain[a:b]
 
-        add([lv[0][1] for lv in own])
-        rest = [(bound, i, lv[0][0]) for lv in own for bound, i in lv[1:]]
+        if len(own) > FEW:
+            # so many terms reach any score: whole terms, whose levels lie side by side, at once
+            for t in terms:
+                if t in levels:
+                    a, b = whole[t]
+                    score[at[a:b]] += idf[t] * gain[a:b]
+        else:
+            add([lv[0][1] for lv in own])
+        rest = [] if len(own) > FEW else [(bound, i, lv[0][0]) for lv in own for bound, i in lv[1:]]
         if rest:
             seen = score[open_ & (score > 0)]
             if len(seen) >= k:
