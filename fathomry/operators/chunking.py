@@ -80,12 +80,13 @@ def sentences(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, source:
 def code_lines(files: DataFrame, lines: int = CODE_LINES, overlap: int = CODE_OVERLAP) -> DataFrame:
     """Chunks of ``lines`` lines with their line range: source, text, language."""
     step = lines - overlap
-    rows = files.withColumn("l", F.split("text", "\n")).where(F.trim("text") != "")
+    rows = files.select("source", "language", F.split("text", "\n").alias("l")).where(F.trim("text") != "")
     last = F.greatest(F.lit(0), F.ceil((F.size("l") - lines) / F.lit(step)).cast("int"))
-    rows = rows.withColumns({"total_chunks": last + 1, "chunk_index": F.explode(F.sequence(F.lit(0), last))})
+    # each chunk carries its own lines only
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("chunk_index"), F.slice("l", i * step + 1, F.lit(lines)).alias("part")))
+    rows = rows.select("source", "language", (last + 1).alias("total_chunks"), F.inline(parts))
     first = F.col("chunk_index") * step
-    part = F.slice("l", first + 1, F.lit(lines))
-    return rows.select(chunk_id(F.col("source"), F.col("chunk_index")).alias("chunk_id"), "source", "language", "chunk_index", "total_chunks", (first + 1).alias("start_line"), (first + F.size(part)).alias("end_line"), F.array_join(part, "\n").alias("text"))
+    return rows.select(chunk_id(F.col("source"), F.col("chunk_index")).alias("chunk_id"), "source", "language", "chunk_index", "total_chunks", (first + 1).alias("start_line"), (first + F.size("part")).alias("end_line"), F.array_join("part", "\n").alias("text"))
 
 
 #: Definitions that start a line, by language; the first group is the kind's word, the second the name.
@@ -140,6 +141,7 @@ def doc_comment(text: Column) -> Column:
 
 def fallback_summary(text: Column) -> Column:
     """A docstring of over 10 characters, cut to 200; else a comment about a definition; else a first comment line; else nothing."""
+    # The three patterns, which must find what the summaries are known to be made of.
     doc = F.regexp_extract(text, r'(?s)"""(.*?)"""', 1)
     cut = F.when(F.length(doc) > 200, F.concat(F.substring(doc, 1, 200), F.lit("..."))).when(F.length(doc) > 10, doc)
     about = F.regexp_extract(text, r"((?i)#.*(?:function|class|method|def))", 1)

@@ -12,6 +12,7 @@ def _have(found: DataFrame, *names: str) -> list[Column]:
 
 def reason(found: DataFrame, mode: str, alpha: float = 0.5) -> Column:
     """Reranking speaks first, then a graph fallback, then the mode."""
+    # The sentences below, which callers read as they are.
     score, vector, bm25, graph, moved, again, place = _have(found, "score", "vector_score", "bm25_score", "graph_score", "rerank_movement", "rerank_score", "original_rank")
     fell = F.col("graph_fallback") if "graph_fallback" in found.columns else F.lit(False)
     way = F.when(moved > 0, "up").otherwise("down")

@@ -75,6 +75,7 @@ def hops(triples: DataFrame, start: list[str], depth: int = 1) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seen = triples.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in start])).alias("name"), F.lit(0).alias("hop"))
     new = seen
+    both = both.persist()
     for d in range(1, depth + 1):
         new = new.join(both, new["name"] == both["a"]).select(F.col("b").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("hop", F.lit(d))
         seen = seen.unionByName(new)

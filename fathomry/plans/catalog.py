@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fathomry.functions import entities, languages
 from fathomry.functions import text as tx
-from fathomry.operators import bm25, caches, cells, chunking, explain, filters, fulltext, fusion, graph, incremental, jobs, postings, rerank, stats, triples, vector
+from fathomry.operators import bm25, caches, cells, chunking, explain, filters, fulltext, fusion, graph, incremental, jobs, postings, rerank, stats, symbols, triples, vector
 from fathomry.sources import shared, tables
 from fathomry.streaming import feeds
 
@@ -639,6 +639,47 @@ def line_chunks(spark, sf_dir):
     return out.select(F.col("source").cast("long").alias("doc_id"), "chunk_index", "total_chunks", "start_line", "end_line", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+_METHODS = {"symbols": "p_size % 5 + 1", "chunks": "p_size"}
+
+
+def _classes(spark, sf_dir, methods: str) -> DataFrame:
+    """A class file for each part, with so many methods of three lines."""
+    many = F.expr(methods).cast("int")
+    body = F.transform(F.sequence(F.lit(1), many), lambda i: F.format_string("    public int m%d(int a) {\n        return a + %d; // }\n    }\n", i, i))
+    text = F.concat(F.lit("public class P"), F.col("p_partkey").cast("string"), F.lit(" {\n"), F.array_join(body, ""), F.lit("}"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source"), text.alias("text"), F.lit("java").alias("language"))
+
+
+@register(f"""WITH p AS (SELECT p_partkey, CAST({_METHODS["symbols"]} AS INTEGER) AS m FROM part), i AS (SELECT p_partkey, CAST(unnest(range(1, m + 1)) AS INTEGER) AS i FROM p)
+SELECT p_partkey AS source, 'P' || p_partkey AS name, 'class_declaration' AS declaration, 1 AS start_line, 3 * m + 2 AS end_line, '' AS parent FROM p
+UNION ALL SELECT p_partkey, 'm' || i, 'method_declaration', 3 * i - 1, 3 * i + 1, 'P' || p_partkey FROM i""")
+def code_symbols(spark, sf_dir):
+    found = symbols.symbols(_classes(spark, sf_dir, _METHODS["symbols"]))
+    return found.select("source", "name", "declaration", "start_line", "end_line", F.coalesce("parent", F.lit("")).alias("parent"))
+
+
+@register(f"""SELECT p_partkey AS source, CAST(3 * ({_METHODS["chunks"]}) + 2 AS BIGINT) AS lines, true AS within, 0::BIGINT AS cut FROM part""")
+def code_chunks(spark, sf_dir):
+    """Chunks of whole methods: every line once, none over 40 lines or 1,500 characters, no method cut."""
+    made = symbols.code_chunks(_classes(spark, sf_dir, _METHODS["chunks"]))
+    size = F.col("end_line") - F.col("start_line") + 1
+    starts_within = (F.col("start_line") > 1) & ((F.col("start_line") - 2) % 3 != 0)
+    return made.groupBy("source").agg(F.sum(size).alias("lines"), F.bool_and((size <= 40) & (F.length("text") <= 1500)).alias("within"), F.count_if(starts_within).alias("cut"))
+
+
+@register("""WITH c AS (SELECT l_orderkey AS source, l_orderkey * 10 + l_linenumber AS chunk_id, l_linenumber * 40 AS a, l_linenumber * 40 + CAST(l_quantity AS INTEGER) AS b FROM lineitem),
+s AS (SELECT l_orderkey AS source, 's' || l_linenumber AS name, l_linenumber * 50 - CAST(l_suppkey % 60 AS INTEGER) AS a, l_linenumber * 50 + CAST(l_partkey % 90 AS INTEGER) AS b FROM lineitem),
+j AS (SELECT chunk_id, name, row_number() OVER (PARTITION BY chunk_id ORDER BY CASE WHEN s.a < c.a THEN 1 ELSE 0 END, s.a DESC, s.b, name) AS n FROM c JOIN s ON s.source = c.source AND s.a <= c.b AND s.b >= c.a)
+SELECT c.chunk_id, coalesce(j.name, '') AS symbol FROM c LEFT JOIN j ON j.chunk_id = c.chunk_id AND j.n = 1""")
+def symbol_overlap(spark, sf_dir):
+    """Which symbol a chunk is told by, where both are ranges of lines."""
+    lines = _table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber").cast("int")
+    chunks = lines.select((F.col("l_orderkey") * 10 + n).alias("chunk_id"), F.col("l_orderkey").alias("source"), (n * 40).alias("start_line"), (n * 40 + F.col("l_quantity").cast("int")).alias("end_line"))
+    found = lines.select(F.col("l_orderkey").alias("source"), F.concat(F.lit("s"), n.cast("string")).alias("name"), F.lit("method").alias("kind"), (n * 50 - (F.col("l_suppkey") % 60).cast("int")).alias("start_line"), (n * 50 + (F.col("l_partkey") % 90).cast("int")).alias("end_line"))
+    return symbols.overlapping(chunks, found).select("chunk_id", F.coalesce("symbol_name", F.lit("")).alias("symbol"))
+
+
 @register("""WITH r AS (SELECT page_id, CASE WHEN url LIKE '%example.com%' THEN url END AS source FROM pages)
 SELECT page_id, coalesce(source, 'unknown') AS source, 'doc' AS source_type FROM r""")
 def result_defaults(spark, sf_dir):
