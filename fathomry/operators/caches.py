@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TTL, ENTRIES = 300, 256
+#: Parts into which a range of times is divided at each step to an edge.
+BINS = 4096
 CACHED_MODES = ("vector", "bm25", "hybrid")
 
 
@@ -77,6 +79,52 @@ def evict_oldest(cache: DataFrame, share: float = 0.1) -> DataFrame:
     return cache.where(later)
 
 
+def evict_to(cache: DataFrame, most: int, size: Column | None = None) -> DataFrame:
+    """The most recently used entries that take at most ``most`` bytes together, in whole order of use: no older entry stays once one has gone.
+
+    cache: cache_key, last_accessed (a time or a number; null: oldest), embedding
+    (4 bytes a component, besides its key) unless ``size`` gives bytes (null: 0).
+    Entries of one time are taken by falling SHA-256 of their keys. Nothing is
+    sorted: sums of bytes for ranges of time are refined until one entry is the edge, and
+    each step reads its own range alone.
+    """
+    own = F.octet_length("cache_key") + 4 * F.size("embedding") if size is None else size
+    time_ = F.col("last_accessed")
+    if cache.schema["last_accessed"].dataType.typeName().startswith("timestamp"):
+        time_ = F.unix_micros(time_.cast("timestamp"))
+    else:
+        time_ = (time_.cast("decimal(30,6)") * 1_000_000).cast("long")
+    at = F.coalesce(time_, F.lit(-(1 << 61)))
+    tie = F.conv(F.substring(F.sha2(F.col("cache_key").cast("string"), 256), 1, 15), 16, 10).cast("long")
+    rows = cache.select(at.alias("at"), tie.alias("tie"), F.greatest(F.coalesce(own, F.lit(0)), F.lit(0)).cast("long").alias("size"))
+    if (rows.agg(F.sum("size").alias("n")).first()["n"] or 0) <= most:
+        return cache
+    edge, left = _edge(rows, "at", max(most, 0))
+    last, _ = _edge(rows.where(F.col("at") == edge), "tie", left)
+    return cache.where((at > edge) | ((at == edge) & (tie > last)))
+
+
+def _edge(rows: DataFrame, column: str, left: int) -> tuple[int, int]:
+    """(the value at which a sum from the highest value down first exceeds ``left``, what is left for that value). The sum of all must exceed it."""
+    ends = rows.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
+    low, high = ends["low"], ends["high"]
+    while low < high:
+        width = (high - low) // BINS + 1
+        part = F.expr(f"({column} - {low}L) div {width}L") if low >= 0 else F.expr(f"({column} + {-low}L) div {width}L")
+        sums = rows.where(F.col(column).between(low, high)).groupBy(part.alias("part")).agg(F.sum("size").alias("n")).collect()
+        for part, n in sorted(((r["part"], r["n"]) for r in sums), reverse=True):
+            if n > left:
+                break
+            left -= n
+        low, high = low + part * width, min(high, low + (part + 1) * width - 1)
+    return low, left
+
+
+def fitting(cache: DataFrame, provider: str, model: str, dimensions: int) -> DataFrame:
+    """The cache for a fingerprint of a model: entries of any other are wiped."""
+    return cache.where(F.endswith("cache_key", F.lit(f":{provider}:{model}:{dimensions}")))
+
+
 def hit_rates(events: DataFrame, by: list[str], hit: Column) -> DataFrame:
     rate = F.round(F.coalesce(F.try_divide(F.count_if(hit).cast("double"), F.count("*")), F.lit(0.0)), 4)
     return events.groupBy(*by).agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), rate.alias("hit_rate"))

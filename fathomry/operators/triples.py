@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomry.functions import entities
@@ -70,6 +70,45 @@ def from_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     return rows.select("subject", F.lit("APIDoc").alias("subject_type"), F.lit("references").alias("predicate"), "object", F.lit("Endpoint").alias("object_type"), "source_chunk_id")
 
 
+# The names under which an extraction may give each part, the first that is not empty wins.
+PARTS = {"subject": ("subject", "head"), "predicate": ("predicate", "relation"), "object": ("object", "tail"), "subject_type": ("subject_type", "head_type"), "object_type": ("object_type", "tail_type")}
+
+
+def from_extractions(answers: DataFrame, key: str = "chunk_id", text: str = "extractions", most: int = 10) -> DataFrame:
+    """Triples of extractions: JSON lists of ``{"attributes": {...}}``, or of relations with the same names at the top and ``relation`` before ``predicate``.
+
+    Parts that are missing, null, false, 0 or empty count as missing, and an extraction without
+    subject, predicate or object is skipped, as is one whose attributes are no
+    object. Of a chunk's attribute extractions the first ``most`` that count are kept; relations are not cut. Texts that are no JSON list give nothing.
+    """
+    each = F.try_variant_get(F.try_parse_json(text), "$", "array<variant>")
+    rows = answers.select(F.col(key).alias("source_chunk_id"), F.posexplode(each).alias("at", "e"))
+    attributes = F.try_variant_get("e", "$.attributes", "variant")
+    flat = attributes.isNull()
+    rows = rows.select("source_chunk_id", "at", flat.alias("flat"), F.coalesce(attributes, F.col("e")).alias("e"))
+
+    def part(names: tuple[str, ...]) -> Column:
+        options = []
+        for n in names:
+            value, kind = F.try_variant_get("e", f"$.{n}", "string"), F.schema_of_variant(F.try_variant_get("e", f"$.{n}", "variant"))
+            options.append(F.when((kind == "STRING") & (value != ""), value).when((kind == "BOOLEAN") & (value == "true"), "True").when(~kind.isin("STRING", "BOOLEAN") & (value != "0"), value))
+        return F.coalesce(*options)
+
+    relation = F.when(F.col("flat"), part(PARTS["predicate"][::-1])).otherwise(part(PARTS["predicate"]))
+    found = rows.select(
+        part(PARTS["subject"]).alias("subject"),
+        entities.normalized_type(part(PARTS["subject_type"])).alias("subject_type"),
+        F.trim(F.lower(relation)).alias("predicate"),
+        part(PARTS["object"]).alias("object"),
+        entities.normalized_type(part(PARTS["object_type"])).alias("object_type"),
+        "source_chunk_id",
+        "at",
+        "flat",
+    ).where("subject is not null and predicate is not null and object is not null")
+    nth = F.row_number().over(Window.partitionBy("source_chunk_id", "flat").orderBy("at"))
+    return found.withColumn("__n", nth).where(F.col("flat") | (F.col("__n") <= most)).drop("__n", "at", "flat")
+
+
 def from_answers(answers: DataFrame, key: str = "chunk_id", text: str = "answer", most: int = 10) -> DataFrame:
     """Lines ``subject | predicate | object`` or with types ``subject | type | predicate | object | type``; other lines are skipped."""
     lines = answers.select(F.col(key).alias("source_chunk_id"), F.posexplode(F.split(text, "\n")).alias("line", "l"))
@@ -86,7 +125,5 @@ def from_answers(answers: DataFrame, key: str = "chunk_id", text: str = "answer"
         "source_chunk_id",
         F.struct("line").alias("__order"),
     )
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("source_chunk_id").orderBy("__order"))
     return rows.withColumn("__n", nth).where(F.col("__n") <= most).drop("__order", "__n")

@@ -585,6 +585,14 @@ def cache_eviction(spark, sf_dir):
     return caches.evict_oldest(used).select(F.col("cache_key").alias("user_id"))
 
 
+@register("""WITH u AS (SELECT user_id, max(ts) AS t, sum(octet_length(encode(props))) AS size FROM events GROUP BY user_id), b AS (SELECT floor(sum(size) / 2) AS most FROM u),
+r AS (SELECT *, sum(size) OVER (ORDER BY t DESC, sha256(CAST(user_id AS VARCHAR)) DESC ROWS UNBOUNDED PRECEDING) AS upto FROM u) SELECT user_id, CAST(size AS BIGINT) AS size FROM r, b WHERE upto <= most""")
+def cache_byte_bound(spark, sf_dir):
+    used = _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("cache_key")).agg(F.max("ts").alias("last_accessed"), F.sum(F.octet_length("props")).alias("size"))
+    most = used.agg(F.floor(F.sum("size") / 2).alias("n")).first()["n"]
+    return caches.evict_to(used, most or 0, F.col("size")).select(F.col("cache_key").alias("user_id"), "size")
+
+
 @register(f"""WITH {_LAST}, {_TRIPLES}
 SELECT (SELECT count(*) FROM documents) AS total_chunks, (SELECT count(*) FROM documents) AS doc_chunks, (SELECT count(DISTINCT source) FROM documents) AS total_documents, (SELECT array_to_string(list_sort(list(DISTINCT lang)), ',') FROM documents) AS languages,
 (SELECT count(DISTINCT e) FROM (SELECT subject AS e FROM t UNION ALL SELECT object FROM t)) AS entities, (SELECT count(*) FROM t) AS relationships, (SELECT count(*) FILTER (WHERE status = 'done') FROM j) AS jobs_done""")
@@ -746,6 +754,18 @@ def answer_triples(spark, sf_dir):
     return out.select("subject", "predicate", "object", "source_chunk_id")
 
 
+@register("""SELECT 'customer ' || o_custkey AS subject, 'Class' AS subject_type, 'placed' AS predicate, CAST(o_orderkey AS VARCHAR) AS object, NULL AS object_type, o_orderkey AS source_chunk_id FROM orders
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), NULL, 'has', o_orderpriority, 'Module', o_orderkey FROM orders WHERE o_totalprice > 100000""")
+def extraction_triples(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders")
+    order = F.col("o_orderkey").cast("string")
+    first = F.struct(F.concat(F.lit("customer "), "o_custkey").alias("subject"), F.lit("class").alias("head_type"), F.lit(" PLACED ").alias("predicate"), order.alias("tail"))
+    second = F.struct(F.lit("").alias("subject"), order.alias("head"), F.lit("has").alias("relation"), F.when(F.col("o_totalprice") > 100000, F.col("o_orderpriority")).otherwise("").alias("object"), F.lit("module").alias("object_type"))
+    wrapped = [F.concat(F.lit('{"attributes": '), F.to_json(x), F.lit("}")) for x in (first, second)]
+    given = F.concat(F.lit('[{"attributes": "none"}, '), F.concat_ws(", ", *wrapped), F.lit("]"))
+    return triples.from_extractions(orders.select(F.col("o_orderkey").alias("chunk_id"), given.alias("extractions")))
+
+
 @register(f"{_DIFF.replace('WITH', 'WITH', 1)} SELECT file_path, CASE WHEN change = 'deleted' THEN 'deleted' ELSE 'added' END AS change FROM d")
 def forced_diff(spark, sf_dir):
     return incremental.diff(*_versions(spark, sf_dir), force=True).select("file_path", "change")
