@@ -69,6 +69,12 @@ def entity_summary(triples: DataFrame) -> DataFrame:
     return ends.groupBy("name").agg(F.min("type").alias("entity_type"), F.countDistinct("source_chunk_id").alias("n_chunks"), F.count("*").alias("degree"))
 
 
+def first_types(triples: DataFrame, order: str = "commit") -> DataFrame:
+    """(name, entity_type): the type that an entity had first by ``order``; null types do not count unless there is no other. Ties go to the smaller chunk, then type."""
+    ends = triples.select(F.inline(F.array(F.struct(F.col("subject").alias("name"), F.col("subject_type").alias("type")), F.struct(F.col("object").alias("name"), F.col("object_type").alias("type")))), order, "source_chunk_id")
+    return ends.groupBy("name").agg(F.min_by("type", F.when(F.col("type").isNotNull(), F.struct(order, "source_chunk_id", "type"))).alias("entity_type"))
+
+
 def hops(triples: DataFrame, start: list[str], depth: int = 1) -> DataFrame:
     """(name, hop): entities within a number of steps from stated ones, in either direction."""
     links = triples.select(F.col("subject").alias("a"), F.col("object").alias("b")).distinct()

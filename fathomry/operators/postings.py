@@ -169,6 +169,10 @@ class TextIndex:
     def remove(self, ids: DataFrame) -> int:
         return self._write(None, ids)
 
+    def replace(self, docs: DataFrame, ids: DataFrame) -> int:
+        """Documents come in and others go, in one segment."""
+        return self._write(docs, ids.select(self.key).unionByName(docs.select(self.key)))
+
     def compact(self, docs: DataFrame) -> int:
         """Writes one segment of ``docs``, the documents as they are now, in place of all others; earlier ones stay until removed by hand."""
         return self._write(docs, None, whole=True)

@@ -13,6 +13,8 @@ from fathomry.operators import bm25, caches, cells, chunking, explain, filters,
 from fathomry.sources import shared, tables
 from fathomry.streaming import feeds
 
+from .store import Store
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -897,3 +899,17 @@ def multi_three_lists(spark, sf_dir):
 def explain_result(spark, sf_dir):
     found = explain.explained(hybrid_rsf(spark, sf_dir).where("query_id = 'q1'"), "hybrid", 0.5)
     return explain.explain_result(found, found.where("rank = 1").first()["doc_id"], "doc_id").select("doc_id", "reason")
+
+
+@register("""WITH u AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'again ' || coalesce(text, '') ELSE text END AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS chunk_id, sha256(text) AS text_sha256, lang AS language, source FROM u WHERE NOT (lang = 'fr' AND doc_id % 3 <> 0) AND doc_id % 7 <> 0""")
+def store_commits(spark, sf_dir):
+    """All documents come in; the French go, a third comes in again with other texts, and a seventh goes by id."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "text", F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("source"))
+    kept = Store(spark, shared.fresh(spark, "store"))
+    kept.initialize()
+    kept.upsert_documents(docs)
+    kept.delete_by_metadata({"language": "fr"})
+    kept.upsert_documents(docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("again "), F.coalesce("text", F.lit("")))))
+    kept.delete_by_ids(docs.where("doc_id % 7 = 0").select("chunk_id"))
+    return kept.chunks().select("chunk_id", F.sha2("text", 256).alias("text_sha256"), "language", "source")

@@ -43,14 +43,16 @@ def wanted(path: Column, relative: Column, patterns: list[str] | None = None, in
     return lang.suffix(path).isin(*suffixes) & ~tx.ignored(relative, lang.EXCLUDES if excludes is None else excludes)
 
 
-def load(spark: SparkSession, root: str, recursive: bool = True, patterns: list[str] | None = None, include_code: bool = True, excludes: list[str] | None = None) -> DataFrame:
+def load(spark: SparkSession, root: str, recursive: bool = True, patterns: list[str] | None = None, include_code: bool = True, excludes: list[str] | None = None, within: tuple[float, float] | None = None) -> DataFrame:
     """Documents: text, source, file_name, file_path, file_size, source_type, language. PDF and DOCX need a reader of their own and are left out.
 
     Names are filtered in the listing, in any case; only files that stay are
-    read. ``root`` may be one file.
+    read. ``root`` may be one file. within: seconds from and to which a file was changed, others are not read.
     """
     suffixes = sorted({p.removeprefix("*.") for p in patterns if p.startswith("*.")} if patterns else {s[1:] for s in (*lang.DOCUMENT_SUFFIXES, *lang.LANGUAGE_OF)})
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join(map(_any_case, suffixes)) + "}").load(root)
+    if within is not None:
+        rows = rows.where(F.col("modificationTime").between(*[F.timestamp_seconds(F.lit(t)) for t in within]))
     bare, relative = _placed(root, F.col("path"))
     keep = wanted(F.col("path"), relative, patterns, include_code, excludes) & ~lang.suffix(F.col("path")).isin(".pdf", ".docx")
     text = F.try_validate_utf8(F.col("content").cast("string"))
