@@ -62,6 +62,8 @@ class Store:
                     if text.endswith("}"):
                         break
                     time.sleep(0.05)
+                else:
+                    raise RuntimeError(f"commit {n} of {self.path} has no content; remove its file in log if its writer is gone")
                 self._known[n] = json.loads(text) | {"n": n}
         whole = max((n for n in numbers if self._known[n]["whole"]), default=0)
         return [self._known[n] for n in numbers if n >= whole]
