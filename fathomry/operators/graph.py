@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomry.functions import entities
+from fathomry.sources import shared
 
 EDGE = ("subject", "predicate", "object")
+#: Length of the pieces of names by which names that contain another meet it.
+GRAM = 3
 
 
 def path(row: str = "") -> Column:
@@ -31,6 +34,53 @@ def entity_search(triples: DataFrame, names: list[str], k: int = 5) -> DataFrame
     return hits.orderBy("n", "nth").limit(k).select(*triples.columns, F.col("e.entity").alias("entity"), path().alias("path"), F.lit(1.0).alias("score"))
 
 
+def _pieces(names: DataFrame, name: str, size: int, piece: str) -> DataFrame:
+    """Adds each distinct piece of ``size`` characters of a name; shorter names have none."""
+    places = F.sequence(F.lit(1), F.length(name) - size + 1)
+    return names.where(F.length(name) >= size).withColumn(piece, F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(name, i, F.lit(size))))))
+
+
+def containing(names: DataFrame, parts: DataFrame) -> DataFrame:
+    """(part, name): which names (name) contain which parts (part), each pair once; both by exact characters, empty and null ones never.
+
+    A join on pieces of three characters: a part meets the names that have its rarest piece, and only these are compared. Parts of
+    one or two characters meet names by pieces of their own length.
+    """
+    names, parts = names.select("name").distinct(), parts.select("part").distinct()
+    long, out = parts.where(F.length("part") >= GRAM), []
+    asked = _pieces(long, "part", GRAM, "gram")
+    held = _pieces(names, "name", GRAM, "gram").join(asked.select("gram").distinct(), "gram", "left_semi")
+    often = held.groupBy("gram").agg(F.count("*").alias("often"))
+    rarest = asked.join(often, "gram", "left").groupBy("part").agg(F.min_by("gram", F.struct(F.coalesce("often", F.lit(0)), "gram")).alias("gram"))
+    out.append(held.join(rarest, "gram").where(F.contains("name", "part")).select("part", "name"))
+    for size in range(1, GRAM):
+        out.append(_pieces(names, "name", size, "part").join(parts.where(F.length("part") == size), "part").select("part", "name"))
+    return union_all(out)
+
+
+def entity_batch(triples: DataFrame, mentions: DataFrame, k: int = 5) -> DataFrame:
+    """``entity_search`` for a table of mentions (query_id, n, entity): the first k triples of each name, one per chunk (or path), k a query.
+
+    Names are found once however many queries mention them, and each name's triples are cut to k before they meet the queries.
+    n orders a query's names; null and empty names find nothing.
+    """
+    asked = mentions.select("query_id", "n", "entity", F.lower("entity").alias("part")).where("part <> ''")
+    edges = triples.withColumns({"__s": F.lower("subject"), "__o": F.lower("object")})
+    names = edges.select(F.explode(F.array("__s", "__o")).alias("name"))
+    pairs = containing(names, asked)
+    by_subject = edges.join(pairs, edges["__s"] == pairs["name"])
+    # a triple that has the name at both ends counts once
+    by_object = edges.join(pairs, edges["__o"] == pairs["name"]).where(~F.coalesce(F.contains("__s", "part"), F.lit(False)))
+    hits = by_subject.unionByName(by_object).drop("__s", "__o", "name")
+    order = [F.col("source_chunk_id"), *[F.col(c) for c in EDGE]]
+    hits = hits.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order))).where(F.col("nth") <= k)
+    hits = asked.join(hits, "part").drop("part")
+    place = F.coalesce(F.col("source_chunk_id").cast("string"), path())
+    hits = hits.withColumn("one", F.row_number().over(Window.partitionBy("query_id", place).orderBy("n", "nth"))).where("one = 1")
+    hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("n", "nth"))).where(F.col("rank") <= k)
+    return hits.select("query_id", *triples.columns, "entity", path().alias("path"), F.lit(1.0).alias("score"), "rank")
+
+
 def by_type(triples: DataFrame, entity_types: list[str] | None = None, relationships: list[str] | None = None) -> DataFrame:
     out = triples
     if entity_types:
@@ -75,15 +125,27 @@ def first_types(triples: DataFrame, order: str = "commit") -> DataFrame:
     return ends.groupBy("name").agg(F.min_by("type", F.when(F.col("type").isNotNull(), F.struct(order, "source_chunk_id", "type"))).alias("entity_type"))
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """The rows as a table of the shared folder, so that what comes after does not repeat what came before."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared.folder(rows.sparkSession))
+    return rows.checkpoint()
+
+
 def hops(triples: DataFrame, start: list[str], depth: int = 1) -> DataFrame:
-    """(name, hop): entities within a number of steps from stated ones, in either direction."""
+    """(name, hop): entities within a number of steps from stated ones, in either direction.
+
+    Each step reads the links once and joins only what the step before found; it ends when a step finds nothing.
+    """
     links = triples.select(F.col("subject").alias("a"), F.col("object").alias("b")).distinct()
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    seen = triples.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in start])).alias("name"), F.lit(0).alias("hop"))
+    both = _cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()) if depth > 0 else None
+    seen = triples.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in dict.fromkeys(start)])).alias("name"), F.lit(0).alias("hop"))
     new = seen
-    both = both.persist()
     for d in range(1, depth + 1):
-        new = new.join(both, new["name"] == both["a"]).select(F.col("b").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("hop", F.lit(d))
+        new = _cut(new.select(F.col("name").alias("a")).join(both, "a").select(F.col("b").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("hop", F.lit(d)))
+        if new.isEmpty():
+            break
         seen = seen.unionByName(new)
     return seen
 
@@ -94,10 +156,17 @@ def fallback(found: DataFrame, instead: DataFrame) -> DataFrame:
     return found.withColumn("graph_fallback", F.lit(False)).unionByName(missed.withColumn("graph_fallback", F.lit(True)), allowMissingColumns=True)
 
 
+def context_counts(found: DataFrame) -> DataFrame:
+    """One row of numbers about found triples of any number: n_triples, n_entities, n_paths and the mean score, at most 1 (0 without triples)."""
+    ends = found.select(F.explode(F.array("subject", "object")).alias("e")).agg(F.countDistinct("e").alias("n_entities"))
+    paths = found.agg(F.count("*").alias("n_triples"), F.countDistinct(path()).alias("n_paths"), F.least(F.lit(1.0), F.coalesce(F.avg("score"), F.lit(0.0))).alias("score"))
+    return paths.crossJoin(ends).select("n_triples", "n_entities", "n_paths", "score")
+
+
 def context(found: DataFrame) -> DataFrame:
-    """One row about found triples: distinct entities, paths and the mean score, at most 1."""
+    """One row about the triples that a search returned (it holds them all): distinct entities, paths and the mean score, at most 1."""
     names = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("subject", "object")))))
-    return found.agg(names.alias("entities"), F.array_sort(F.collect_set(path())).alias("paths"), F.count("*").alias("n_triples"), F.least(F.lit(1.0), F.avg("score")).alias("score"))
+    return found.agg(names.alias("entities"), F.array_sort(F.collect_set(path())).alias("paths"), F.count("*").alias("n_triples"), F.least(F.lit(1.0), F.coalesce(F.avg("score"), F.lit(0.0))).alias("score"))
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -13,6 +13,7 @@ from fathomry.operators import bm25, caches, cells, chunking, explain, filters,
 from fathomry.sources import shared, tables
 from fathomry.streaming import feeds
 
+from .batch import search_batch
 from .store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,14 +75,14 @@ nm{s} AS (SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query
 ranked{s} AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM nm{s} QUALIFY rank <= {k})"""
 
 
-def _vector_sql(k: int, metric: str = "cosine", suffix: str = "", rows: str = "embeddings") -> str:
+def _vector_sql(k: int, metric: str = "cosine", suffix: str = "", rows: str = "embeddings", asked: str = _VECTORS_SQL) -> str:
     s = suffix
     score = {
         "cosine": "greatest(0.0, least(1.0, 1 - (1 - list_inner_product(v, q) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q))))))",
         "l2": "1 / (1 + list_distance(v, q))",
         "inner_product": "greatest(0.0, list_inner_product(v, q))",
     }[metric]
-    return f"""{_VECTORS_SQL},
+    return f"""{asked},
 vv{s} AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM {rows}),
 vs{s} AS (SELECT query_id, id, round({score}, 6) AS score FROM vv{s} CROSS JOIN vq),
 vranked{s} AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM vs{s} QUALIFY rank <= {k})"""
@@ -352,7 +353,21 @@ def chunk_stats(spark, sf_dir):
     return chunking.stats(chunking.windows(_table(spark, sf_dir, "documents")))
 
 
-@register()
+_SENTENCES = """RECURSIVE p AS (SELECT doc_id AS source, i, unnest(string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), 1) AS j
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents)),
+w AS (SELECT source, i, j, list_filter(string_split_regex(s, '\\s+'), lambda x: x <> '') AS w FROM p),
+v AS (SELECT source, i, j, c, w[c * 512 + 1:c * 512 + 512] AS u FROM (SELECT source, i, j, w, unnest(range(CAST(ceil(len(w) / 512.0) AS BIGINT))) AS c FROM w)),
+d AS (SELECT source, list(u ORDER BY i, j, c) AS u, list(len(u) ORDER BY i, j, c) AS n FROM v GROUP BY source),
+t AS (SELECT source, u, n, list_prepend(0, list_transform(range(1, len(n) + 1), lambda x: list_sum(n[1:x]))) AS cum FROM d),
+r AS (SELECT source, 0 AS chunk_index, CAST(1 AS BIGINT) AS a, CAST(1 + len(list_filter(range(2, len(n) + 1), lambda x: cum[x + 1] - cum[1] <= 512)) AS BIGINT) AS e FROM t
+  UNION ALL SELECT source, chunk_index, a, CAST(f + len(list_filter(range(f + 1, len(n) + 1), lambda x: cum[x + 1] - cum[a] <= 512)) AS BIGINT) FROM
+  (SELECT r.source, r.chunk_index + 1 AS chunk_index, r.e + 1 AS f, t.n, t.cum, CAST(r.e + 1 - len(list_filter(range(r.a, r.e + 1), lambda x: t.cum[r.e + 1] - t.cum[x] <= least(50, 512 - t.n[r.e + 1]))) AS BIGINT) AS a
+   FROM r JOIN t USING (source) WHERE r.e < len(t.n))),
+c AS (SELECT source, chunk_index, flatten(u[a:e]) AS w FROM r JOIN t USING (source))"""
+
+
+@register(f"""WITH {_SENTENCES} SELECT 'chunk_' || substr(md5(source || '_' || chunk_index), 1, 16) AS chunk_id, source, CAST(chunk_index AS INTEGER) AS chunk_index,
+CAST(count(*) OVER (PARTITION BY source) AS INTEGER) AS total_chunks, CAST(len(w) AS INTEGER) AS token_count, array_to_string(w, ' ') AS text FROM c""")
 def sentence_chunks(spark, sf_dir):
     return chunking.sentences(_table(spark, sf_dir, "documents"))
 
@@ -629,8 +644,7 @@ def explain_multi(spark, sf_dir):
 
 @register(f"WITH {_TRIPLES}, f AS (SELECT * FROM t WHERE lower(predicate) = 'references') SELECT count(*) AS n_triples, (SELECT count(DISTINCT e) FROM (SELECT subject AS e FROM f UNION ALL SELECT object FROM f)) AS n_entities, count(DISTINCT subject || ' -> ' || predicate || ' -> ' || object) AS n_paths, 1.0::DOUBLE AS score FROM f")
 def graph_context(spark, sf_dir):
-    out = graph.context(graph.by_type(_links(spark, sf_dir), relationships=["references"]).withColumn("score", F.lit(1.0)))
-    return out.select("n_triples", F.size("entities").cast("long").alias("n_entities"), F.size("paths").cast("long").alias("n_paths"), "score")
+    return graph.context_counts(graph.by_type(_links(spark, sf_dir), relationships=["references"]).withColumn("score", F.lit(1.0)))
 
 
 @register(f"""WITH {_TRIPLES}, {_vector_sql(3)}, own AS (SELECT 'v1' AS query_id, source_chunk_id AS id FROM t WHERE object = '/the')
@@ -913,3 +927,48 @@ def store_commits(spark, sf_dir):
     kept.upsert_documents(docs.where("doc_id % 3 = 0").withColumn("text", F.concat(F.lit("again "), F.coalesce("text", F.lit("")))))
     kept.delete_by_ids(docs.where("doc_id % 7 = 0").select("chunk_id"))
     return kept.chunks().select("chunk_id", F.sha2("text", 256).alias("text_sha256"), "language", "source")
+
+
+# ---- batches of queries in the fused modes: each benchmark passage with the vector of its number
+
+_BATCH_SQL = f"""{_bm25_sql(20, 'asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)')},
+{_vector_sql(20, rows='(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))', asked='vq AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM benchmark JOIN embeddings ON vec_id = item_id)')},
+a AS (SELECT * FROM vranked), b AS (SELECT * FROM ranked)"""
+
+
+def _batch(spark, sf_dir, mode, **more):
+    vectors = _table(spark, sf_dir, "embeddings")
+    own = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).join(own, "query_id", "left")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    return search_batch(asked, mode, 10, depth=20, words=_stored(spark, sf_dir), vectors=vectors.join(docs, "vec_id", "left_semi"), **more)
+
+
+# with 0.6 and 0.4 no score of one retriever alone ends in half a last digit, which engines round differently
+@register(_rsf_sql(0.6, 10).replace(_BOTH_SQL, _BATCH_SQL).replace(repr(1 - 0.6), "0.4"))
+def hybrid_batch(spark, sf_dir):
+    out = _batch(spark, sf_dir, "hybrid", alpha=0.6)
+    return out.select("query_id", F.col("id").alias("doc_id"), F.round("vector_score", 6).alias("vector_score"), F.round("bm25_score", 6).alias("bm25_score"), "score", "rank")
+
+
+@register(f"""WITH {_BATCH_SQL}, u AS (SELECT *, 'v' AS l FROM a UNION ALL SELECT *, 'b' AS l FROM b),
+g AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, CAST(coalesce(min(rank) FILTER (l = 'v'), 0) AS INTEGER) AS vector_rank, CAST(coalesce(min(rank) FILTER (l = 'b'), 0) AS INTEGER) AS bm25_rank FROM u GROUP BY query_id, id)
+SELECT query_id, id AS doc_id, score, vector_rank, bm25_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM g QUALIFY rank <= 10""")
+def multi_batch(spark, sf_dir):
+    return _batch(spark, sf_dir, "multi").fillna(0, ["vector_rank", "bm25_rank"]).withColumnRenamed("id", "doc_id")
+
+
+_NAMED_SQL = f"""{_TRIPLES}, m AS (SELECT page_id AS query_id, CAST(i AS INTEGER) AS n, lower(e) AS part FROM (SELECT page_id, unnest(range(len(w))) AS i, unnest(w) AS e
+  FROM (SELECT page_id, regexp_extract_all(url, '[A-Za-z0-9]+') AS w FROM pages)) WHERE e <> ''),
+h AS (SELECT DISTINCT part FROM m), f AS (SELECT part, t.*, row_number() OVER (PARTITION BY part ORDER BY source_chunk_id, subject, predicate, object) AS nth
+  FROM h JOIN t ON contains(lower(subject), part) OR contains(lower(object), part) QUALIFY nth <= 5),
+o AS (SELECT query_id, n, f.*, row_number() OVER (PARTITION BY query_id, source_chunk_id ORDER BY n, nth) AS one FROM m JOIN f USING (part) QUALIFY one = 1)
+SELECT query_id, part AS entity, source_chunk_id, subject || ' -> ' || predicate || ' -> ' || object AS path, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n, nth) AS INTEGER) AS rank FROM o QUALIFY rank <= 5"""
+
+
+@register(f"WITH {_NAMED_SQL}")
+def graph_batch(spark, sf_dir):
+    """For every page, the first links whose ends contain one of the words of its own address."""
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.posexplode(F.regexp_extract_all("url", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("n", "entity"))
+    out = graph.entity_batch(_links(spark, sf_dir), pages, 5)
+    return out.select("query_id", F.lower("entity").alias("entity"), "source_chunk_id", "path", "rank")
