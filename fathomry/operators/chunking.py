@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathomry.functions import text as tx
 from fathomry.functions.ship import ship
@@ -164,3 +167,30 @@ def page_label(docs: DataFrame, source: str = "source") -> DataFrame:
 
 def token_proxy(text: Column) -> Column:
     return F.size(tx.raw_tokens(text))
+
+
+#: Bytes of a vocabulary up to which it is sent to all tasks.
+VOCABULARY = 32 << 20
+
+
+def token_counts(rows: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+    """Adds ``token_count``: tokens of a byte-level vocabulary, ``vocabulary`` being a file of ranks and ``pattern`` the expression that cuts a text.
+
+    Strings that name special tokens count as ordinary text; null and empty texts have 0. The file is read by the driver and sent to the tasks, so it must not be over VOCABULARY bytes.
+    """
+    if Path(vocabulary).stat().st_size > VOCABULARY:
+        raise ValueError(f"{vocabulary} is over {VOCABULARY} bytes")
+    spark = rows.sparkSession
+    ship(spark)
+    sent = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())
+    rest = [f for f in rows.schema.fields if f.name != "token_count"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
+        coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for b in batches:
+            yield b[[f.name for f in rest]].assign(token_count=[len(coder.encode_ordinary(t)) if t else 0 for t in b[text]])
+
+    return rows.mapInPandas(run, T.StructType([*rest, T.StructField("token_count", T.IntegerType())]))

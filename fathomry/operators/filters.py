@@ -42,10 +42,15 @@ def chunk_records(chunks: DataFrame) -> DataFrame:
     )
 
 
-def results(found: DataFrame) -> DataFrame:
-    """Fills in what a result lacks: its source and its source type."""
+# What a result tells in columns of its own.
+OWN = ("source", "file_path", "source_type", "language")
+
+
+def results(found: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """Fills in what a result lacks: its source and its source type. A map of metadata, if there is one, loses the keys that are columns."""
     options = [F.col(c) for c in ("source", "file_path") if c in found.columns]
-    return found.withColumns({"source": F.coalesce(*options, F.lit("unknown")), "source_type": F.coalesce("source_type", F.lit("doc"))})
+    found = found.withColumns({"source": F.coalesce(*options, F.lit("unknown")), "source_type": F.coalesce("source_type", F.lit("doc"))})
+    return found if metadata not in found.columns else found.withColumn(metadata, F.map_filter(metadata, lambda k, _: ~k.isin(*OWN)))
 
 
 def inject(chunks: DataFrame, extra: str, folder: dict[str, object], known: set[str]) -> DataFrame:

@@ -91,6 +91,15 @@ def by_type(triples: DataFrame, entity_types: list[str] | None = None, relations
     return out
 
 
+def search_by_type(triples: DataFrame, names: list[str], entity_types: list[str] | None = None, relationships: list[str] | None = None, k: int = 5) -> DataFrame:
+    """``entity_search`` for three times as many rows, of which those of the wanted types and relationships stay, cut to k in their order.
+
+    Types are compared after the cut of the search, so fewer than k rows may stay; ``by_type`` before a search has no such loss.
+    """
+    found = entity_search(triples, names, 3 * k).withColumn("__at", F.monotonically_increasing_id())
+    return by_type(found, entity_types, relationships).orderBy("__at").limit(k).drop("__at")
+
+
 def entity_record(triples: DataFrame, kind: str, name: str) -> DataFrame:
     """One row: the entity, and its incoming and outgoing neighbours, each edge once; no row if it is unknown."""
     wanted = entities.normalize_type(kind)

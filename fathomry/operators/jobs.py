@@ -40,6 +40,17 @@ def stats(jobs: DataFrame) -> DataFrame:
     return jobs.agg(n("pending"), n("running"), n("done"), n("failed"), n("cancelled"), F.count("*").alias("total"))
 
 
+def current(jobs: DataFrame, now: Column) -> DataFrame:
+    """One row: the running job that started first (job_id, status, started_at; ties to the smaller id) and its milliseconds up to ``now``; nulls if none runs.
+
+    A job without a start has no running time, and comes after those that have one.
+    """
+    order = F.struct(F.col("started_at").isNull(), "started_at", "job_id")
+    first = jobs.where("status = 'running'").agg(F.min_by(F.struct("job_id", "started_at"), order).alias("j"))
+    spent = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("j.started_at").cast("timestamp"))) / 1000
+    return first.select(F.col("j.job_id").alias("current_job_id"), F.floor(spent).alias("running_time_ms"))
+
+
 def enqueue(jobs: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
     """New jobs (seq, dedupe_key ...) that no active job and no earlier new one equals; all if forced."""
     if force:

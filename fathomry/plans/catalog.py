@@ -544,6 +544,15 @@ def queue_stats(spark, sf_dir):
     return jobs.stats(jobs.replay(_log(spark, sf_dir)))
 
 
+@register(f"""WITH {_LAST}, r AS (SELECT job_id, enqueued_at FROM j WHERE status = 'running' ORDER BY enqueued_at, job_id LIMIT 1)
+SELECT job_id AS current_job_id, CAST(epoch_ms((SELECT max(ts) FROM events)) - epoch_ms(enqueued_at) AS BIGINT) AS running_time_ms FROM r""")
+def queue_current(spark, sf_dir):
+    """The running job that started first, and for how long it has run at the log's last event."""
+    log = _log(spark, sf_dir).withColumnRenamed("enqueued_at", "started_at")
+    last = log.agg(F.max("started_at")).first()[0]
+    return jobs.current(jobs.replay(log), F.lit(last))
+
+
 @register(f"""WITH {_LAST} SELECT job_id, CASE WHEN status = 'running' AND retry_count + 1 > 3 THEN 'failed' WHEN status = 'running' THEN 'pending' ELSE status END AS status, CAST(retry_count + CASE WHEN status = 'running' THEN 1 ELSE 0 END AS INTEGER) AS retry_count FROM j""")
 def job_recovery(spark, sf_dir):
     return jobs.recover(jobs.replay(_log(spark, sf_dir))).select("job_id", "status", "retry_count")
@@ -972,3 +981,12 @@ def graph_batch(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("query_id"), F.posexplode(F.regexp_extract_all("url", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("n", "entity"))
     out = graph.entity_batch(_links(spark, sf_dir), pages, 5)
     return out.select("query_id", F.lower("entity").alias("entity"), "source_chunk_id", "path", "rank")
+
+
+@register()
+def token_counts(spark, sf_dir):
+    """Tokens of every document in a public byte-level vocabulary."""
+    import public_tokenizers as public
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunking.token_counts(docs, public.path("byte_bpe_50k.tiktoken"), public.PATTERN).drop("text")

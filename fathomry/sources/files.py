@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from fathomry.functions import languages as lang
 from fathomry.functions import text as tx
 
+from . import docx
+
 LARGEST = 10 * 1024 * 1024
 
 
@@ -44,7 +46,7 @@ def wanted(path: Column, relative: Column, patterns: list[str] | None = None, in
 
 
 def load(spark: SparkSession, root: str, recursive: bool = True, patterns: list[str] | None = None, include_code: bool = True, excludes: list[str] | None = None, within: tuple[float, float] | None = None) -> DataFrame:
-    """Documents: text, source, file_name, file_path, file_size, source_type, language. PDF and DOCX need a reader of their own and are left out.
+    """Documents: text, source, file_name, file_path, file_size, source_type, language. PDF needs a reader of its own and is left out.
 
     Names are filtered in the listing, in any case; only files that stay are
     read. ``root`` may be one file. within: seconds from and to which a file was changed, others are not read.
@@ -54,18 +56,21 @@ def load(spark: SparkSession, root: str, recursive: bool = True, patterns: list[
     if within is not None:
         rows = rows.where(F.col("modificationTime").between(*[F.timestamp_seconds(F.lit(t)) for t in within]))
     bare, relative = _placed(root, F.col("path"))
-    keep = wanted(F.col("path"), relative, patterns, include_code, excludes) & ~lang.suffix(F.col("path")).isin(".pdf", ".docx")
-    text = F.try_validate_utf8(F.col("content").cast("string"))
+    keep = wanted(F.col("path"), relative, patterns, include_code, excludes) & (lang.suffix(F.col("path")) != ".pdf")
+    packed = lang.suffix(F.col("path")) == ".docx"
     code = lang.by_path(bare)
-    return rows.where(keep).select(
-        text.alias("text"),
+    about = [
         bare.alias("source"),
         F.regexp_extract(bare, "([^/]*)$", 1).alias("file_name"),
         bare.alias("file_path"),
         F.col("length").alias("file_size"),
         F.when(code.isNotNull(), "code").otherwise("doc").alias("source_type"),
         F.coalesce(code, F.lit("markdown")).alias("language"),
-    )
+    ]
+    plain = rows.where(keep & ~packed).select(F.try_validate_utf8(F.col("content").cast("string")).alias("text"), *about)
+    if "docx" not in suffixes:
+        return plain
+    return plain.unionByName(docx.with_text(rows.where(keep & packed).select("content", *about)))
 
 
 def checksums(spark: SparkSession, root: str, manifest: DataFrame | None = None) -> DataFrame:
