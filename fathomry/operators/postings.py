@@ -28,6 +28,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ from .bm25 import K1, B, ranked
 
 #: Documents of a shard, about; levels of gain.
 SHARD, LEVELS = 100_000, 8
+#: Words that a task turns into postings at once.
+TOKENS = 2_000_000
 #: Pairs of query and term that a pass sends to all tasks.
 PAIRS = 200_000
 #: Terms of a query up to which levels are passed over.
@@ -124,7 +127,7 @@ class TextIndex:
             made = self.spark.read.parquet(f"{at}/forward").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
             n, dl = made["n"], made["dl"]
             shards = max(self.spark.sparkContext.defaultParallelism, -(-n // SHARD))
-            self._postings(rows, names, dl / n if n else 1.0, shards).write.parquet(f"{at}/postings")
+            self._postings(docs, dl / n if n else 1.0, shards).write.parquet(f"{at}/postings")
         else:
             kind = ids.schema[self.key].dataType.simpleString() if ids is not None else "long"
             none = self.spark.range(0)
@@ -136,20 +139,32 @@ class TextIndex:
         self.spark.range(1).selectExpr(f"{n}L n", f"{dl}L dl", f"{lost['n']}L n_gone", f"{lost['dl']}L dl_gone", f"{shards} shards").write.parquet(f"{at}/totals")
         return seg
 
-    def _postings(self, rows: DataFrame, names: dict[str, str], avgdl: float, shards: int) -> DataFrame:
-        parts, before = [], F.lit(0)
-        for f, w in names.items():
-            # positions run through the fields in their order
-            parts.append(rows.select("id", "dl", F.lit(f).alias("field"), F.size(w).alias("len"), before.alias("__first"), F.posexplode(w).alias("__at", "term")))
-            before = before + F.size(w)
-        each = reduce(DataFrame.unionByName, parts)
-        one = each.groupBy("id", "field", "term").agg(F.sort_array(F.collect_list(F.col("__first") + F.col("__at"))).alias("pos"), F.first("len").alias("len"), F.first("dl").alias("dl"))
-        tf = F.size("pos")
-        one = one.withColumn("gain", tf / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0))))
-        one = one.withColumns({"shard": self._shard(shards), "level": F.floor(LEVELS * F.col("gain")).cast("int"), "d": F.struct("id", tf.alias("tf"), "dl", "len", "pos")})
-        grouped = one.groupBy("shard", "term", "field", "level").agg(F.max("gain").alias("top"), F.collect_list("d").alias("d"))
-        out = grouped.select("shard", "term", "field", "level", "top", F.size("d").alias("n"), F.col("d.id").alias("ids"), "d.tf", "d.dl", "d.len", "d.pos")
-        return out.repartitionByRange("term", "shard").sortWithinPartitions("term", "shard")
+    def _postings(self, docs: DataFrame, avgdl: float, shards: int) -> DataFrame:
+        """Texts are exchanged once, by shard; a task turns TOKENS of them at a time into blocks, so a shard may have several of one term and level."""
+        names = {f: f"__w{i}" for i, f in enumerate(self.fields)}
+        texts = docs.select(F.col(self.key).alias("id"), *[F.col(f).alias(w) for f, w in names.items()]).where("id is not null").withColumn("shard", self._shard(shards))
+        rows = texts.repartitionById(shards, "shard").select("id", "shard", *[tx.raw_tokens(F.col(w)).alias(w) for w in names.values()])
+        body, stop = names[self.body], pa.array(tx.STOPWORDS)
+        kind = rows.schema["id"].dataType.simpleString()
+        schema = f"shard int, term string, field string, level int, top double, n int, ids array<{kind}>, tf array<int>, dl array<int>, len array<int>, pos array<array<int>>"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for batch in batches:
+                lens = sum(batch.column(w).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for w in names.values())
+                group = (size + np.cumsum(lens)) // TOKENS
+                edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(lens)]
+                for x, y in zip(edges[:-1], edges[1:], strict=True):
+                    if held and size and group[x] > 0:
+                        yield from blocks_of(pa.Table.from_batches(held), names, body, stop, avgdl)
+                        held, size = [], 0
+                    held.append(batch.slice(x, y - x))
+                    size = int(lens[x:y].sum()) if len(held) == 1 else size + int(lens[x:y].sum())
+            if held:
+                yield from blocks_of(pa.Table.from_batches(held), names, body, stop, avgdl)
+
+        ship(self.spark)
+        return rows.mapInArrow(run, schema).repartitionByRange("term", "shard").sortWithinPartitions("term", "shard")
 
     def _gone(self, ids: DataFrame | None) -> DataFrame:
         """(id, in_seg, shard, dl, terms) of the given documents that are in the index."""
@@ -274,6 +289,55 @@ class TextIndex:
         return top.withColumn("score", F.round(F.when(best > 0, F.col("raw") / best).otherwise(0.0), 6)).select("query_id", "id", "score", "rank")
 
 
+def blocks_of(rows: pa.Table, names: dict[str, str], body: str, stop: pa.Array, avgdl: float) -> Iterator[pa.RecordBatch]:
+    """The postings of some documents (id, shard and their fields' tokens) as blocks of one shard, term, field and level."""
+    lens = {w: rows[w].combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for w in names.values()}
+    words = {w: rows[w].combine_chunks().flatten() for w in names.values()}
+    places = np.arange(rows.num_rows)
+    counted = ~pc.is_in(words[body], value_set=stop).to_numpy(zero_copy_only=False)
+    dl = np.bincount(np.repeat(places, lens[body])[counted], minlength=rows.num_rows)
+    ids, shard = rows["id"].combine_chunks(), rows["shard"].to_numpy()
+    before = np.zeros(rows.num_rows, np.int64)
+    listed = lambda edge, values: pa.ListArray.from_arrays(pa.array(edge, pa.int32()), values)
+    for field, w in names.items():
+        n = lens[w]
+        total = int(n.sum())
+        if total:
+            coded = words[w].dictionary_encode()
+            term, doc = coded.indices.to_numpy(), np.repeat(places, n)
+            pos = before[doc] + np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+            # words come by document and position, which a stable order by term keeps
+            order = np.argsort(term, kind="stable")
+            term, doc, pos = term[order], doc[order], pos[order]
+            first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])
+            tf = np.diff(np.r_[first, total])
+            term, doc = term[first], doc[first]
+            gain = tf / (tf + K1 * (1 - B + B * dl[doc] / (avgdl or 1.0)))
+            level = np.floor(LEVELS * gain).astype(np.int64)
+            at = np.lexsort((doc, level, term, shard[doc]))
+            term, doc, tf, gain, level, first = term[at], doc[at], tf[at], gain[at], level[at], first[at]
+            own = shard[doc]
+            start = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (term[1:] != term[:-1]) | (level[1:] != level[:-1])])
+            edge, inner = np.r_[start, len(doc)], np.r_[0, np.cumsum(tf)]
+            spots = pos[np.repeat(first - inner[:-1], tf) + np.arange(total)]
+            numbers = lambda x, edge=edge: listed(edge, pa.array(x, pa.int32()))
+            columns = {
+                "shard": pa.array(own[start], pa.int32()),
+                "term": coded.dictionary.take(pa.array(term[start])),
+                "field": pa.array([field] * len(start)),
+                "level": pa.array(level[start], pa.int32()),
+                "top": pa.array(np.maximum.reduceat(gain, start)),
+                "n": pa.array(np.diff(edge), pa.int32()),
+                "ids": listed(edge, ids.take(pa.array(doc))),
+                "tf": numbers(tf),
+                "dl": numbers(dl[doc]),
+                "len": numbers(n[doc]),
+                "pos": listed(edge, listed(inner, pa.array(spots, pa.int32()))),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+        before = before + n
+
+
 def _arrow(schema) -> list[pa.DataType]:
     from pyspark.sql.pandas.types import to_arrow_type
 
