@@ -26,7 +26,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group whose five-word shingles are alike to 0.8 or more."""
+    """Keeps one document of each group whose five-word shingles are alike to 0.8 or more.
+
+    Candidates come from op7's anchors over SimHash fingerprints; whole sets of shingles
+    decide, and an exact join adds the pairs whose fingerprints lie further apart.
+    """
     return op7_anchor_simhash.keep_one(docs, find=similar_sets.near_duplicates).select(*COLUMNS)
 
 

@@ -47,18 +47,22 @@ MARKS = 26
 CHECKS = [sum(1 << (i - 1) for i in range(1, 32) if i >> j & 1) for j in range(5)]
 
 
+def simhash(hashes: np.ndarray) -> np.uint64:
+    """The 64-bit SimHash of unsigned 64-bit hashes: a bit is 1 if it is set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        part = hashes[i : i + CHUNK]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprint(text: str | None) -> int:
     """The 64-bit SimHash of a text's word shingles, unsigned."""
     words = (text or "").encode().lower().split()
     if not words:
         return 0
     shingles = list(map(b" ".join, zip(*[words[i:] for i in range(WIDTH)], strict=False))) or [b" ".join(words)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), CHUNK):
-        part = hashes[i : i + CHUNK]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(simhash(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))))
 
 
 def fingerprints(docs: DataFrame, text: str) -> DataFrame:

@@ -1,14 +1,18 @@
 """Near duplicates by the general rule: five-word shingles, Jaccard similarity 0.8 or more.
 
-An exact set similarity join by prefixes, no sketch decides:
+SimHash fingerprints that meet at op7's anchors name the first candidates; sets are always
+compared whole, and an exact set similarity join by prefixes adds what 3 of 64 bits miss:
 
-1. a text becomes the set of its shingles' 64-bit hashes; texts with equal sets are one node;
+1. a text becomes the set of its shingles' 64-bit hashes; texts with equal sets are one node.
+   A set's fingerprint is the SimHash of its hashes. Fingerprints that
+   ``op7_anchor_simhash.links`` connects, and sets of equal fingerprints, are candidates;
 2. shingles get one order for all, common ones last. Two sets of similarity 0.8 share
    SHARED shingles among the first fifth (and SHARED more) of each, so these travel,
    with their place, to the shingle's bucket;
 3. each bucket has LEADERS, and each set is compared with the leader that it meets in
-   most buckets, so that a group of copies is connected without its pairs;
-4. sets that leaders bring together, and that are half alike, are a family. A set of a
+   most buckets, so that a group of copies is connected without its pairs, and with
+   the sets that fingerprints name;
+4. sets that these comparisons find half alike are connected to a family. A set of a
    family is told by its differences from what most of the family has. Two sets are
    alike to 0.8 if their differences, less those that they share, are a ninth of their
    sizes. So the one with the fewest differences links all that are near it without
@@ -41,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, op7_anchor_simhash
 from .components import components
 from .op5_phrase_automata import _groups, _mixed, word_hashes
 
@@ -140,6 +144,28 @@ def _each_set(batches: Iterator[pa.RecordBatch], common_ones=None) -> Iterator[t
             yield token, edge, node, fresh
 
 
+def prints(texts: DataFrame) -> DataFrame:
+    """(node, fp): the fingerprint of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, edge, node, fresh in _each_set(batches):
+            new = np.flatnonzero(fresh)
+            fp = np.array([op7_anchor_simhash.simhash(token[edge[i] : edge[i + 1]]) for i in new], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(fp.view(np.int64))], names=["node", "fp"])
+
+    return common.map_batches(texts, run, "node long, fp long").dropDuplicates(["node"])
+
+
+def anchored(texts: DataFrame) -> DataFrame:
+    """(a, b): candidates that connect all sets whose fingerprints lie within op7's few bits of one another."""
+    each = common.cut(prints(texts))
+    first = each.groupBy("fp").agg(F.min("node").alias("first"))
+    same = each.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = op7_anchor_simhash.links(first.select("fp")).distinct().toDF("fp", "other")
+    named = near.join(first.withColumnRenamed("first", "a"), "fp").drop("fp").withColumnRenamed("other", "fp").join(first.withColumnRenamed("first", "b"), "fp")
+    return same.unionByName(named.select("a", "b"))
+
+
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many sampled sets have, sorted, and in how many."""
     total = texts.count()
@@ -387,8 +413,8 @@ def _with_roots(rows: DataFrame, root: DataFrame, key: str, name: str) -> DataFr
 def links(docs: DataFrame, text: str) -> DataFrame:
     """(a, b): links that connect all nodes of similarity 0.8 or more.
 
-    First each node is compared with the leader that it meets most often, then
-    within its family; pairs that are connected by then say nothing new, all other
+    First each node is compared with those that its fingerprint names and with the
+    leader that it meets most often, then within its family; pairs that are connected by then say nothing new, all other
     candidates are compared.
     """
     texts = docs.select(F.col(text).alias("__text"))
@@ -397,7 +423,8 @@ def links(docs: DataFrame, text: str) -> DataFrame:
     each = prefixes(texts).repartition("token").dropDuplicates(["token", "node"])
     led = [F.col(f"lead{i}.{c}").alias(f"{c}{i}") for i in range(LEADERS) for c in ("node", "size")]
     members = common.cut(each.withColumns({"__n": F.count("*").over(bucket)} | leaders).where("__n > 1").select("token", "size", "place", "node", *led))
-    first = common.cut(_led(members))
+    named = anchored(texts).unionByName(_led(members)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = common.cut(named.distinct())
     sets = common.cut(sets_of(texts, first.select(F.col("a").alias("node")).union(first.select("b")).distinct()).dropDuplicates(["node"]))
     near = common.cut(compared(first, sets))
     placed = families(near, sets)
@@ -411,8 +438,7 @@ def links(docs: DataFrame, text: str) -> DataFrame:
     rest = rest.withColumns(ends).where("__min_root < __max_root and __min_family < __max_family").drop(*ends)
     met = common.map_batches(rest.sortWithinPartitions("token", "size"), _pair, "a long, b long, met long, need long, enough long")
     met = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("need").alias("need"), F.max("enough").alias("enough"))
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = common.cut(met.where("met >= need and enough = 1").select("a", "b").join(tried, ["a", "b"], "left_anti"))
+    pairs = common.cut(met.where("met >= need and enough = 1").select("a", "b").join(first, ["a", "b"], "left_anti"))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = common.cut(sets_of(texts, nodes).dropDuplicates(["node"]))
     return root.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(confirmed(pairs, sets))

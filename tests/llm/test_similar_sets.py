@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from fathomry.llm import similar_sets
+from fathomry.llm import op7_anchor_simhash, similar_sets
 
 VOCAB = [f"w{i}" for i in range(300)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -104,3 +104,25 @@ def parts(n, links):
         old, new = top[b], top[a]
         top = [new if t == old else t for t in top]
     return [top.index(t) for t in top]
+
+
+def test_fingerprint_anchors_name_candidates(spark):
+    rows = made()
+    texts = spark.createDataFrame([(t,) for _, t in rows], "__text string").repartition(3)
+    each = similar_sets.prints(texts).toPandas()
+    node, fp = each["node"].tolist(), each["fp"].to_numpy().view(np.uint64)
+    assert len(node) == len({shingles(t) for _, t in rows})
+    at = {n: i for i, n in enumerate(node)}
+    got = [(at[r.a], at[r.b]) for r in similar_sets.anchored(texts).collect()]
+    want = [(a, b) for a, b in combinations(range(len(node)), 2) if np.bitwise_count(fp[a] ^ fp[b]) <= op7_anchor_simhash.BITS]
+    assert set(map(frozenset, got)) <= set(map(frozenset, want)) and parts(len(node), got) == parts(len(node), want)
+    assert len(want) > 20
+
+
+def test_stage_links_by_anchors_alone(spark, monkeypatch):
+    """Where the join by prefixes finds nothing, the candidates of fingerprints are still compared, and only alike sets linked."""
+    rows, prefixes = made(), similar_sets.prefixes
+    monkeypatch.setattr(similar_sets, "prefixes", lambda texts: prefixes(texts).where("false"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    kept = set(corpus_pipeline.near_dedup(spark, docs, None).toPandas()["doc_id"])
+    assert {g[0] for g in groups(rows)} <= kept and len(kept) < len({shingles(t) for _, t in rows})
