@@ -63,7 +63,7 @@ SAMPLE, SHARE = 20_000, 0.01
 #: A shingle of so many sampled sets is common; at most COMMON shingles are.
 OFTEN, COMMON = 3, 200_000
 #: Candidates that a task holds before it passes them on.
-PAIRS = 1 << 20
+PAIRS = 1 << 17
 #: Sets that a task remembers, to pass copies on once.
 SEEN = 1 << 18
 #: Digits of a node's number that are marked: the bits are sent to the tasks, 8 MB.
@@ -119,7 +119,7 @@ def _named(docs: DataFrame, text: str) -> DataFrame:
     schema = docs.select(*kept).schema.add("node", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             made = [names(*shingles(texts)) for _, texts in _groups(_texts(batch))]
             node = np.concatenate(made) if made else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(node, pa.int64())], names=[*kept, "node"])
@@ -130,7 +130,7 @@ def _named(docs: DataFrame, text: str) -> DataFrame:
 def _each_set(batches: Iterator[pa.RecordBatch], common_ones=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(tokens, bounds, nodes, which sets were not met before in this task)."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in common.slices(batches):
         for _, texts in _groups(_texts(batch)):
             token, edge = shingles(texts, common_ones)
             node = names(token, edge)
@@ -279,7 +279,7 @@ def sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in common.slices(batches):
         x, y = batch.column("x"), batch.column("y")
         rows = []
         for i in range(batch.num_rows):
@@ -320,8 +320,8 @@ def families(near: DataFrame, sets: DataFrame) -> DataFrame:
     own = common.cut(own)
     many = own.groupBy("family").agg(F.count("*").alias("n"))
     often = own.select("family", F.explode("diff").alias("token")).groupBy("family", "token").agg(F.count("*").alias("has"))
-    # at most twice as many as a set of the family has on average
-    flip = often.join(many, "family").where("2 * has > n").groupBy("family").agg(F.collect_list("token").alias("flip"))
+    # at most twice as many as a set of the family has on average; families have two sets or more, so what one set has stays where it is
+    flip = often.where("has > 1").join(many, "family").where("2 * has > n").groupBy("family").agg(F.collect_list("token").alias("flip"))
     turned = F.array_union(F.array_except("diff", "flip"), F.array_except("flip", "diff"))
     based = own.join(flip, "family", "left").withColumn("diff", F.when(F.col("flip").isNull(), F.col("diff")).otherwise(turned))
     based = based.where(F.size("diff") <= WIDE).withColumn("h", (NUM + DEN) * F.size("diff") - (DEN - NUM) * F.col("size"))

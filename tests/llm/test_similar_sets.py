@@ -3,6 +3,7 @@
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -126,3 +127,22 @@ def test_stage_links_by_anchors_alone(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
     kept = set(corpus_pipeline.near_dedup(spark, docs, None).toPandas()["doc_id"])
     assert {g[0] for g in groups(rows)} <= kept and len(kept) < len({shingles(t) for _, t in rows})
+
+
+def test_tasks_work_on_parts_of_batches():
+    n = 3 * similar_sets.common.SLICE_ROWS
+    texts = pa.RecordBatch.from_arrays([pa.array([f"a b c d e f {i}" for i in range(n)])], names=["__text"])
+    parts = [len(node) for _, _, node, _ in similar_sets._each_set(iter([texts]))]
+    assert sum(parts) == n and max(parts) <= similar_sets.common.SLICE_ROWS
+    members = pa.array([[1, 2, 3, i + 4] for i in range(n)], pa.list_(pa.int64()))
+    ids = pa.array(range(n), pa.int64())
+    pairs = pa.RecordBatch.from_arrays([ids, ids, members, members], names=["a", "b", "x", "y"])
+    out = list(similar_sets._compare(iter([pairs])))
+    assert sum(b.num_rows for b in out) == n and max(b.num_rows for b in out) <= similar_sets.common.SLICE_ROWS
+
+
+def test_candidates_of_a_large_bucket_are_passed_on_in_parts():
+    n = 600
+    token, size, place = np.zeros(n, np.int64), np.full(n, 100), np.zeros(n, np.int64)
+    held = [len(x[0]) for x in similar_sets.pairs_in(token, size, place, np.arange(n), np.arange(n), np.arange(n))]
+    assert sum(held) == n * (n - 1) // 2 and max(held) < 140_000
