@@ -680,7 +680,11 @@ def _classes(spark, sf_dir, methods: str) -> DataFrame:
     many = F.expr(methods).cast("int")
     body = F.transform(F.sequence(F.lit(1), many), lambda i: F.format_string("    public int m%d(int a) {\n        return a + %d; // }\n    }\n", i, i))
     text = F.concat(F.lit("public class P"), F.col("p_partkey").cast("string"), F.lit(" {\n"), F.array_join(body, ""), F.lit("}"))
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source"), text.alias("text"), F.lit("java").alias("language"))
+    parts, tasks = _table(spark, sf_dir, "part").select("p_partkey", "p_size"), 4 * spark.sparkContext.defaultParallelism
+    # a few MB of numbers are read by a task or two and become GB of code: they are dealt out before
+    if len(parts.inputFiles()) < tasks:
+        parts = parts.repartition(tasks, "p_partkey")
+    return parts.select(F.col("p_partkey").alias("source"), text.alias("text"), F.lit("java").alias("language"))
 
 
 @register(f"""WITH p AS (SELECT p_partkey, CAST({_METHODS["symbols"]} AS INTEGER) AS m FROM part), i AS (SELECT p_partkey, CAST(unnest(range(1, m + 1)) AS INTEGER) AS i FROM p)

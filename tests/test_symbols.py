@@ -1,9 +1,12 @@
 """Symbols with line ranges, their overlap with chunks, and chunks along them."""
 
+import os
 import textwrap
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fathomry.operators import symbols
 
@@ -198,3 +201,30 @@ def test_tables(spark):
     assert [tuple(r)[:6] for r in symbols.symbols(files).collect()] == [("a.py", "f", "function", "function_definition", 1, 2)]
     made = {(r.source, r.start_line, r.end_line, r.text) for r in symbols.code_chunks(files).collect()}
     assert made == {("a.py", 1, 3, "def f():\n    pass\n"), ("b.txt", None, None, "One. Two.")}
+
+
+def test_deep_blocks_are_packed_in_one_pass():
+    deep = "class A {\n" * 20_000 + "}\n" * 20_000
+    began = time.process_time()
+    parts = symbols.packed(deep, "java")
+    # 400 million steps if each symbol counted its own lines
+    assert time.process_time() - began < 8
+    assert "\n".join(t for _, _, t in parts).rstrip() == deep.rstrip() and all(b - a < 40 for a, b, _ in parts)
+
+
+def test_statements_within_parentheses_and_types():
+    code = "class A {\n int a(int x);\n int b(@N(1) int y) { for (;;) { f(y); } }\n abstract java.util.List<String> c (int z);\n int d = g(1);\n}\nrecord R(int a);\nvoid h(int a) { }\n"
+    got = [(s.name, s.kind, s.start, s.end, s.parent) for s in symbols.read(code, "java")]
+    assert got == [("A", "class", 1, 6, None), ("a", "method", 2, 2, "A"), ("b", "method", 3, 3, "A"), ("c", "method", 4, 4, "A"), ("R", "record", 7, 7, None), ("h", "function", 8, 8, None)]
+
+
+def test_code_of_a_small_table_is_dealt_to_all_tasks(spark):
+    from fathomry.plans import catalog
+
+    path = "/root/testdata/sf0.001"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables")
+    files = catalog._classes(spark, path, "p_size")
+    full = files.groupBy(F.spark_partition_id()).count().count()
+    assert full == 4 * spark.sparkContext.defaultParallelism
+    assert files.count() == catalog._table(spark, path, "part").count()
