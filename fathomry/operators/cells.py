@@ -3,8 +3,8 @@
 Centres of cells and the codebooks of residuals are trained on a bounded sample
 (SAMPLE vectors, fewer if they are long); every vector is indexed. The table is
 partitioned by cell, so a search reads the folders of the cells that its queries
-probe. Of these it reads ids and codes, keeps the MORE * k best by code of each query,
-and scores these exactly from their vectors.
+probe. A task reads CHUNK_BYTES of vectors at a time, keeps the MORE * k best by code
+of each query among these, scores them exactly from their vectors and passes on k.
 
 How many cells a query probes is measured while training: as many as hold WANTED of
 the nearest sampled vectors of sampled queries. Scores are cosine similarities. Null,
@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomry.functions import scores
 from fathomry.functions.ship import ship
 
 from .bm25 import ranked
@@ -37,6 +37,10 @@ WANTED, MEASURED = 0.97, 400
 MORE = 40
 #: Bytes of query vectors that a pass sends to all tasks.
 PASS_BYTES = 32 << 20
+#: Bytes of the vectors that a task holds at a time; products of queries and vectors, or components, in one array.
+CHUNK_BYTES, TILE = 16 << 20, 4 << 20
+#: What orders equal codes by id, as a share of a cosine similarity; far above the rounding of products, far below that of codes.
+TIE = 1e-9
 
 
 def usable(v: Column) -> Column:
@@ -94,6 +98,9 @@ class Trained:
     def codes(self, x: np.ndarray, of: np.ndarray) -> np.ndarray:
         return np.stack([nearest(p, b)[0] for p, b in zip(self.parts(x - self.centres[of]), self.books, strict=True)], 1).astype(np.uint8)
 
+    def decoded(self, codes: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return self.centres[of] + np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
+
     def probed(self, q: np.ndarray, probes: int) -> np.ndarray:
         order = -(q @ self.centres.T - (self.centres**2).sum(1) / 2)
         return np.argsort(order, axis=1, kind="stable")[:, :probes]
@@ -164,47 +171,93 @@ class CellIndex:
         return out
 
     def _pass(self, asked: DataFrame, k: int, probes: int) -> DataFrame:
-        got = asked.toArrow()
+        got = asked.toArrow().combine_chunks()
         q = _matrix(got["q"]) if got.num_rows else np.zeros((0, self.trained.length))
-        cells = self.trained.probed(q, probes)
-        probed = np.unique(cells).tolist()
-        of_cell = {c: np.flatnonzero((cells == c).any(1)) for c in probed}
-        sent = self.spark.sparkContext.broadcast((self.trained, q, of_cell))
-        rows = self.table().where(F.col("cell").isin(*probed))
-        more = MORE * k
-        kind = rows.schema["id"].dataType.simpleString()
+        n = len(self.trained.centres)
+        # a bit for each query and cell; queries with one nearest cell stand side by side
+        bits, first, step = np.empty((len(q), -(-n // 8)), np.uint8), np.empty(len(q), np.int64), max(1, TILE // n)
+        for i in range(0, len(q), step):
+            cells = self.trained.probed(q[i : i + step], probes)
+            some = np.zeros((len(cells), n), bool)
+            np.put_along_axis(some, cells, True, 1)
+            bits[i : i + step], first[i : i + step] = np.packbits(some, axis=1), cells[:, 0]
+        order = np.argsort(first, kind="stable")
+        probed = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits, axis=0), count=n)).tolist()
+        ids = got["query_id"].combine_chunks()
+        sent = self.spark.sparkContext.broadcast((self.trained, ids.take(pa.array(order)), q[order], bits[order]))
+        # small files are read by as many tasks as run at a time; what a task passes on grows with its chunks
+        rows = self.table().where(F.col("cell").isin(*probed)).select("cell", "id", "code", "v").coalesce(2 * self.spark.sparkContext.defaultParallelism)
+        more, size = MORE * k, max(1, CHUNK_BYTES // (8 * self.trained.length))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            made, vectors, of = sent.value
-            parts = made.parts(vectors)
-            # for each part what a codeword adds to the product with each query
-            adds = [p @ b.T for p, b in zip(parts, made.books, strict=True)]
-            for batch in batches:
-                cell = batch.column("cell").to_numpy()
-                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(batch.num_rows, len(made.books)) if batch.num_rows else None
-                asks, rows_, values = [], [], []
-                for c in np.unique(cell).tolist():
-                    at, own = np.flatnonzero(cell == c), of[c]
-                    for j in range(0, len(own), 256):
-                        some = own[j : j + 256]
-                        about = (vectors[some] @ made.centres[c])[:, None] + sum(a[some][:, codes[at, i]] for i, a in enumerate(adds))
-                        keep = np.argpartition(-about, more - 1, axis=1)[:, :more] if about.shape[1] > more else np.broadcast_to(np.arange(about.shape[1]), about.shape)
-                        asks.append(np.repeat(some, keep.shape[1]))
-                        rows_.append(at[keep].ravel())
-                        values.append(np.take_along_axis(about, keep, 1).ravel())
-                if asks:
-                    a, r, v = (np.concatenate(x) for x in (asks, rows_, values))
-                    # of a batch's cells together, the best of each query
-                    order = np.lexsort((r, -v, a))
-                    a, r, v = a[order], r[order], v[order]
-                    first = np.searchsorted(a, a)
-                    top = np.arange(len(a)) - first < more
-                    yield pa.RecordBatch.from_arrays([pa.array(a[top]), batch.column("id").take(pa.array(r[top])), pa.array(cell[r[top]]), pa.array(v[top])], names=["place", "id", "cell", "score"])
+            made, names, vectors, probes = sent.value
+            for chunk in _chunks(batches, size):
+                found = chunk["id"].combine_chunks()
+                for at, row, score in _nearest_of(chunk, made, vectors, probes, more, k):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), found.take(pa.array(row)), pa.array(score)], names=["query_id", "id", "score"])
 
         ship(self.spark)
-        found = rows.select("cell", "id", "code").mapInArrow(run, f"place long, id {kind}, cell int, score double")
-        found = ranked(found.withColumnRenamed("place", "query_id"), more).select(F.col("query_id").alias("place"), "id", "cell")
-        places = self.spark.createDataFrame(got.append_column("place", pa.array(np.arange(got.num_rows)))) if got.num_rows else asked.withColumn("place", F.lit(0).cast("long")).where("false")
-        exact = found.join(rows.select("cell", "id", "v"), ["cell", "id"]).join(places, "place")
-        score = scores.similarity(scores.distance(F.col("v"), F.col("q"), "cosine"), "cosine")
-        return ranked(exact.select("query_id", "id", score.alias("score")), k)
+        kinds = asked.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+        return ranked(rows.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double"), k)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Tables of so many rows, each sorted by cell and id."""
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, size - n)
+            batch = batch.slice(part.num_rows)
+            held.append(part)
+            n += part.num_rows
+            if n == size:
+                yield pa.Table.from_batches(held).sort_by([("cell", "ascending"), ("id", "ascending")])
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).sort_by([("cell", "ascending"), ("id", "ascending")])
+
+
+def _nearest_of(chunk: pa.Table, made: Trained, vectors: np.ndarray, probes: np.ndarray, more: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of queries, rows of the chunk, scores): the k best rows of each query, by exact scores of the ``more`` best by code."""
+    cell = chunk["cell"].to_numpy()
+    of, starts = np.unique(cell, return_index=True)
+    starts = np.append(starts, len(cell))
+    v = _matrix(chunk["v"])
+    codes = np.frombuffer(b"".join(chunk["code"].to_pylist()), np.uint8).reshape(len(cell), -1)
+    # equal codes give equal products but for rounding: one more component puts the smaller id first
+    near = np.column_stack([made.decoded(codes, cell), np.arange(len(cell)) * (-TIE / len(cell))])
+    rank = np.empty(len(cell), np.int64)
+    rank[pc.sort_indices(chunk["id"]).to_numpy()] = np.arange(len(cell))
+    step = max(1, TILE // len(cell))
+    for i in range(0, len(vectors), step):
+        some = np.unpackbits(probes[i : i + step], axis=1, count=len(made.centres)).astype(bool)[:, of]
+        own = np.flatnonzero(some.any(0))
+        if not len(own):
+            continue
+        at = np.flatnonzero(some[:, own].any(1))
+        some, q = some[at], vectors[i + at]
+        every = len(own) == len(of)
+        rows = None if every else np.concatenate([np.arange(starts[c], starts[c + 1]) for c in own])
+        about = np.column_stack([q, np.ones(len(q))]) @ (near if every else near[rows]).T
+        begin = 0
+        for c in own:
+            end = begin + starts[c + 1] - starts[c]
+            if not some[:, c].all():
+                about[~some[:, c], begin:end] = -np.inf
+            begin = end
+        if about.shape[1] > more:
+            keep = np.argpartition(about, about.shape[1] - more, axis=1)[:, -more:]
+        else:
+            keep = np.broadcast_to(np.arange(about.shape[1]), about.shape)
+        out = np.take_along_axis(about, keep, 1) == -np.inf
+        keep = keep if every else rows[keep]
+        score = np.empty(keep.shape)
+        few = max(1, TILE // (keep.shape[1] * v.shape[1]))
+        for j in range(0, len(keep), few):
+            score[j : j + few] = np.einsum("ijk,ik->ij", v[keep[j : j + few]], q[j : j + few])
+        score = np.round(np.clip(score, 0.0, 1.0), 6)
+        score[out] = -np.inf
+        top = np.lexsort((rank[keep], -score), axis=1)[:, :k]
+        score, keep = np.take_along_axis(score, top, 1), np.take_along_axis(keep, top, 1)
+        found = score > -np.inf
+        yield i + at[np.nonzero(found)[0]], keep[found], score[found]
