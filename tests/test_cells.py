@@ -94,3 +94,12 @@ def test_many_queries_need_little_memory_of_a_task(spark, vectors, index):
     before = most()
     assert index.search(many, 5, probes=2).groupBy().count().first()[0] == 100_000
     assert most() - before < 300
+
+
+def test_recall_counts_the_smallest_ids_of_many_copies(spark, tmp_path):
+    from fathomry.plans import catalog
+
+    one, rest = rng.normal(0, 1, 8).tolist(), rng.normal(0, 1, (500, 8)).tolist()
+    rows = [(i, one) for i in rng.permutation(4000).tolist()] + [(10_000 + i, v) for i, v in enumerate(rest)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert tuple(catalog.vector_cells_recall(spark, str(tmp_path)).first()) == (225, 1125, True)
